@@ -50,12 +50,12 @@ def _edit_pairs(keyed: DataFrame, cols: Sequence[str], weights: Sequence[float],
     if min_similarity is None:
         pairs = compact(all_pairs(groups, "gid"), mean)
     elif len(cols) == 1:
-        size = cardinalities(keyed, cols)[0]
+        size = cardinalities(groups, cols)[0]
         near = edit_neighbours(groups, cols[0], min_similarity / 100, size, carry=["gid", "n"])
         pairs = compact(near.where(F.col("sim") * 100 >= min_similarity), F.col("sim") * 100)
     else:
         total, lookups, residuals, order = sum(weights), [], [], []
-        sizes = cardinalities(keyed, cols)
+        sizes = cardinalities(groups, cols)
         for c, w, score, size in zip(cols, weights, scores, sizes):
             bound = column_bound(w, total, min_similarity / 100)
             if bound >= 0.5:

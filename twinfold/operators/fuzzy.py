@@ -44,7 +44,7 @@ def fuzzy_pairs(
         pairs = final(all_pairs(groups, "gid"))
         return PairTable(pairs.unionByName(inside), members)
     lookups, residuals, order = [], [], []
-    for n, x, bound, size in zip(names, w, bounds, cardinalities(keyed, names)):
+    for n, x, bound, size in zip(names, w, bounds, cardinalities(groups, names)):
         if bound > 0:
             values = groups.select(n).distinct()
             near = set_neighbours(values, n, bound, size).select(

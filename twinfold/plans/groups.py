@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import self_pairs
+from .settings import cut_lineage
 
 
 @dataclass
@@ -59,9 +60,9 @@ def value_groups(keyed: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Data
     """``(groups, members)`` of a table ``rid, cols...``.
 
     Grouping combines copies before the shuffle, so a hot value sends one row
-    per task.
+    per task. The groups are written out once, as every later step reads them.
     """
-    groups = keyed.groupBy(*cols).agg(F.min("rid").alias("gid"), F.count(F.lit(1)).alias("n"))
+    groups = cut_lineage(keyed.groupBy(*cols).agg(F.min("rid").alias("gid"), F.count(F.lit(1)).alias("n")))
     ids = groups.select("gid", *cols)
     members = keyed.join(ids, null_safe(keyed, ids, cols)).select("gid", "rid")
     return groups, members
@@ -69,7 +70,7 @@ def value_groups(keyed: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Data
 
 def single_groups(keyed: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Every record its own group, for scores that depend on the record order."""
-    groups = keyed.select(*cols, F.col("rid").alias("gid"), F.lit(1).cast("bigint").alias("n"))
+    groups = cut_lineage(keyed.select(*cols, F.col("rid").alias("gid"), F.lit(1).cast("bigint").alias("n")))
     return groups, keyed.select(F.col("rid").alias("gid"), "rid")
 
 
@@ -100,9 +101,11 @@ def all_pairs(df: DataFrame, id_col: str = "rid", keep=None, size: int | None =
     return self_pairs(df, [], id_col, keep=keep, size=df.count() if size is None else size)
 
 
-def cardinalities(keyed: DataFrame, cols: Sequence[str]) -> list[int]:
+def cardinalities(groups: DataFrame, cols: Sequence[str]) -> list[int]:
     """About how many values each column holds, from one pass; guides plans only."""
-    row = keyed.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    if len(cols) == 1:
+        return [groups.count()]
+    row = groups.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     return [int(row[c]) for c in cols]
 
 

@@ -25,6 +25,7 @@ from ..functions.tokens import set_parts, set_ratio, set_ratio_bound
 from .blocks import probe_pairs, self_pairs
 from .grams import bigrams, gram_pairs, word_bigrams
 from .groups import all_pairs
+from .settings import cut_lineage
 
 EPS = 1e-9
 FEW_VALUES = 1024  # up to here comparing all values costs less than any filter
@@ -136,6 +137,7 @@ def _by_grams(v: DataFrame, rho: float) -> DataFrame:
 
 def both_ways(pairs: DataFrame, values: DataFrame, col: str, own: Column) -> DataFrame:
     """``v, m, sim``: every value with its similar values, itself included."""
+    pairs = cut_lineage(pairs)
     return (
         pairs.select(F.col("v_l").alias("v"), F.col("v_r").alias("m"), "sim")
         .union(pairs.select("v_r", "v_l", "sim"))
