@@ -24,12 +24,12 @@ RULES = (
     (r"sc(?=[iey])|c(?=[iey])", "S"),
     (r"ck|c", "K"),
     (r"dg(?=[eiy])", "J"),
-    (r"d", "T"),
     (r"gh(?![aeiou]|$)", ""),
     (r"g(?=n$|ned$)", ""),
     (r"gh", "K"),
     (r"g(?=[iey])", "J"),
     (r"g", "K"),
+    (r"d", "T"),
     (r"ph", "F"),
     (r"th", "0"),
     (r"t(?=i[ao])", "X"),

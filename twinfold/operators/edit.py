@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import lev_sim, weighted_mean
 from ..plans.groups import PairTable, all_pairs, cardinalities, compact, copies, value_groups
 from ..plans.neighbours import Lookup, Residual, both_ways, column_bound, edit_neighbours, match_groups
+from ..plans.settings import cut_lineage
 from ..sources.records import as_text, validate
 
 
@@ -28,6 +29,19 @@ def levenshtein_pairs(
     return _edit_pairs(keyed, ["c0"], [1.0], min_similarity)
 
 
+def qgram_candidates(df: DataFrame, col: str, min_similarity: float) -> DataFrame:
+    """``v_l, v_r, sim``: distinct texts of ``col`` that pass the bigram filter.
+
+    Exact for ``min_similarity`` from 50 percent up: no pair at or above it is
+    missing, and pairs below it are already dropped.
+    """
+    validate(df, None, [col])
+    if not 50 <= min_similarity <= 100:
+        raise ValueError("min_similarity must be between 50 and 100")
+    values = cut_lineage(df.select(as_text(col).alias("c0")).distinct())
+    return edit_neighbours(values, "c0", min_similarity / 100, values.count())
+
+
 def weighted_levenshtein_pairs(
     df: DataFrame, weights: dict[str, float], min_similarity: float | None = None,
     bdv: str | None = None, normalize: Callable[[Column], Column] | None = None,
