@@ -1,4 +1,4 @@
-"""Exact candidate joins on bigrams, rarest first.
+"""Exact candidate joins for texts: shared bigrams, or few deletions.
 
 Two texts within an edit bound share at least ``need`` of their padded bigrams,
 counted with repeats. With all bigrams in one global order, a pair that shares
@@ -39,6 +39,50 @@ def word_bigrams(tokens: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2))
 
 
+def deletion_pairs(values: DataFrame, id_col: str, text: str, depth: Column, keep: Callable[[], Column], carry=()) -> DataFrame:
+    """Pairs of rows whose texts become equal by few deletions, filtered by ``keep``.
+
+    Texts within ``d`` edits of each other turn into one common text when each
+    loses at most ``d`` characters. ``depth`` (0 to 2) is the largest ``d`` a row
+    can need. Each row is keyed by what is left of it, so two rows meet only if
+    they are close, however common their parts are; a bucket holds nothing but
+    texts within two inserted characters of its key.
+    """
+    whole = F.col(text)
+    n = F.length(whole)
+
+    def without(i):  # the text without its i-th character, counted from 1
+        return F.concat(F.substring(whole, F.lit(1), i - 1), F.substring(whole, i + 1, n))
+
+    def without_two(i, j):  # i < j
+        return F.concat(
+            F.substring(whole, F.lit(1), i - 1), F.substring(whole, i + 1, j - i - 1), F.substring(whole, j + 1, n)
+        )
+
+    none = F.array().cast("array<bigint>")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    once = F.transform(places, lambda i: F.xxhash64(without(i)))
+    twice = F.flatten(F.transform(places, lambda i: F.transform(
+        F.filter(places, lambda j: j > i), lambda j: F.xxhash64(without_two(i, j))
+    )))
+    keys = F.array_distinct(F.concat(
+        F.array(F.xxhash64(whole)),
+        F.when(depth >= 1, once).otherwise(none), F.when(depth >= 2, twice).otherwise(none),
+    ))
+    carry = [c for c in carry]
+    keyed = values.select(F.explode(keys).alias("_tok"), id_col, *carry).repartition(
+        shuffle_width(values.sparkSession), "_tok"
+    )
+    return _met(keyed, id_col, keep)
+
+
+def _met(keyed: DataFrame, id_col: str, keep: Callable[[], Column]) -> DataFrame:
+    """Self-join on ``_tok``; both sides read the one shuffle of ``keyed``."""
+    l, r = [keyed.select(*[F.col(c).alias(f"{c}_{s}") for c in keyed.columns]) for s in "lr"]
+    on = (F.col("_tok_l") == F.col("_tok_r")) & (F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
+    return l.join(r, on & keep()).drop("_tok_l", "_tok_r")
+
+
 def gram_pairs(
     values: DataFrame, id_col: str, grams: Column, need: Column, keep: Callable[[], Column], carry=()
 ) -> DataFrame:
@@ -80,9 +124,7 @@ def gram_pairs(
     width = shuffle_width(spark)
     # At most ``hot`` rows hold a cold key, so it needs no tiles.
     cold = ranked.where(single & ~is_hot).select("_tok", id_col, *carry).repartition(width, "_tok")
-    l, r = [cold.select(*[F.col(c).alias(f"{c}_{s}") for c in cold.columns]) for s in "lr"]
-    on = (F.col("_tok_l") == F.col("_tok_r")) & (F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
-    found = l.join(r, on & keep()).drop("_tok_l", "_tok_r")
+    found = _met(cold, id_col, keep)
     if not has_hot:
         return found
     lone = ranked.where(single & is_hot & (F.col("_need") < 2)).select("_tok", id_col, *carry)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import lev_sim, weighted_mean
 from ..functions.tokens import set_parts, set_ratio, set_ratio_bound
 from .blocks import probe_pairs, self_pairs
-from .grams import bigrams, gram_pairs, word_bigrams
+from .grams import bigrams, deletion_pairs, gram_pairs, word_bigrams
 from .groups import all_pairs
 from .settings import cut_lineage
 
@@ -61,13 +61,31 @@ def edit_neighbours(values: DataFrame, col: str, t: float, size: int, carry: Seq
     if t < 0.5 or size <= FEW_VALUES:
         found = all_pairs(v, own[0], keep=close, size=size).select(*ends, sim)
     else:
-        # d edits leave max_len + 1 - 2d shared bigrams, and d <= (1 - t) max_len.
-        need = F.ceil(F.lit(1.0) + F.lit(2 * t - 1) * F.length("v") - EPS)
         rest = ["v", *carry[1:]] if carry else []
-        found = gram_pairs(v, own[0], bigrams("v"), need, close, carry=rest).select(*ends, sim).distinct()
+        # Pairs split by the longer length: up to ``short`` characters few edits
+        # are allowed and deletions find them, beyond it bigrams do. A text that
+        # can be in either kind of pair goes both ways.
+        short = _short_length(t)
+        near = v.where(F.length("v") <= short)
+        longest = F.least(F.lit(short), F.floor(F.length("v") / F.lit(t) + EPS))
+        depth = F.floor(F.lit(1.0 - t) * longest + EPS)
+        few = lambda: close() & (longer <= short)
+        many = lambda: close() & (longer > short)
+        found = deletion_pairs(near, own[0], "v", depth, few, carry=rest).select(*ends, sim)
+        far = v.where(F.length("v") / F.lit(t) + EPS > short)
+        if short == 0 or far.take(1):
+            # d edits leave max_len + 1 - 2d shared bigrams, and d <= (1 - t) max_len.
+            need = F.ceil(F.lit(1.0) + F.lit(2 * t - 1) * F.length("v") - EPS)
+            found = found.unionByName(gram_pairs(far, own[0], bigrams("v"), need, many, carry=rest).select(*ends, sim))
+        found = found.distinct()
     return found.where(F.col("sim") >= t - EPS)
 
 
+def _short_length(t: float) -> int:
+    """Longest text for which a match has at most two edits, up to 40 characters."""
+    return max([n for n in range(1, 41) if int((1 - t) * n + EPS) <= 2], default=0)
+
+
 def set_neighbours(values: DataFrame, col: str, t: float, size: int) -> DataFrame:
     """Unordered pairs of distinct word sets with a token-set ratio of at least ``100 t``.
 
