@@ -22,8 +22,12 @@ def block_rows(spark: SparkSession) -> int:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-               spark.sparkContext.defaultParallelism)
+    """Partitions of an explicit shuffle: the session's setting, else its cores."""
+    cores = spark.sparkContext.defaultParallelism
+    given = spark.conf.getAll.get("spark.sql.shuffle.partitions")
+    if given is not None:
+        return max(int(given), cores)
+    return cores if spark.sparkContext.master.startswith("local") else max(200, cores)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

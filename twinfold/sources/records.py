@@ -64,20 +64,35 @@ def with_rid(df: DataFrame, id_col: str | None = "id", key: str | None = None) -
     """Add ``rid``, the pair-ordering key, and ``id``, the display id.
 
     ``key`` names a unique integer column to order pairs by; it costs nothing.
-    Without it the row position is used, which takes one counting pass over the
-    partitions but no shuffle and no single-partition window.
+    Without it the row position is used: partitions are counted first, then each
+    row adds its place to the rows before its partition. No row is shuffled and
+    none passes through Python. The input should be a plain scan, whose
+    partitions are the same each time they are read.
     """
     if key is not None:
         out = df.withColumn("rid", F.col(key).cast("bigint"))
     else:
-        schema = T.StructType(df.schema.fields + [T.StructField("rid", T.LongType(), False)])
-        rows = df.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1]))
-        out = df.sparkSession.createDataFrame(rows, schema, verifySchema=False)
+        out = _with_position(df)
     if id_col is not None and id_col in df.columns:
         return out.withColumn("id", F.col(id_col))
     return out.withColumn("id", F.col(key) if key is not None else F.col("rid"))
 
 
+def _with_position(df: DataFrame) -> DataFrame:
+    # The generated id is the partition number in the high bits and the place in
+    # the partition in the low 33 bits.
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    counts = marked.groupBy(part.alias("p")).count().orderBy("p").collect()  # one row per partition
+    before, starts = 0, []
+    for row in counts:
+        starts.append((row["p"], before))
+        before += row["count"]
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part bigint, _start bigint")
+    joined = marked.join(F.broadcast(offsets), part == F.col("_part"))
+    return joined.withColumn("rid", F.col("_start") + place).drop("_at", "_part", "_start")
+
+
 def validate(df: DataFrame, bdv: str | None, cols=(), need_one: bool = False) -> None:
     """Raise ``ValueError`` on an unknown column or an empty selection."""
     if bdv is not None and bdv not in df.columns:
