@@ -57,9 +57,9 @@ def test_levenshtein_pruned_equals_exhaustive(spark, small_blocks, least):
 
 def test_long_texts_use_bigrams(spark, small_blocks):
     rng = random.Random(5)
-    base = names(rng, 12, "abcdefgh", 60, 90)
-    texts = base + [t[:20] + "zz" + t[25:] for t in base] + [t[3:] for t in base] + [t + t[:4] for t in base]
-    for least in (55.0, 85.0):
+    base = names(rng, 9, "abcdefgh", 44, 60)
+    texts = base + [t[:20] + "zz" + t[24:] for t in base] + [t[3:] for t in base] + [t + t[:4] for t in base]
+    for least in (60.0, 75.0, 87.0):
         got = record_pairs(edit.levenshtein_pairs(frame(spark, texts), "t", least))
         want = {
             (i, j): s for i, j in itertools.combinations(range(len(texts)), 2)

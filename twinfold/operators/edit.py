@@ -29,8 +29,8 @@ def levenshtein_pairs(
     return _edit_pairs(keyed, ["c0"], [1.0], min_similarity)
 
 
-def qgram_candidates(df: DataFrame, col: str, min_similarity: float) -> DataFrame:
-    """``v_l, v_r, sim``: distinct texts of ``col`` that pass the bigram filter.
+def qgram_candidates(df: DataFrame, col: str, min_similarity: float, q: int | None = None) -> DataFrame:
+    """``v_l, v_r, sim``: distinct texts of ``col`` that pass the q-gram filter.
 
     Exact for ``min_similarity`` from 50 percent up: no pair at or above it is
     missing, and pairs below it are already dropped.
@@ -39,7 +39,7 @@ def qgram_candidates(df: DataFrame, col: str, min_similarity: float) -> DataFram
     if not 50 <= min_similarity <= 100:
         raise ValueError("min_similarity must be between 50 and 100")
     values = cut_lineage(df.select(as_text(col).alias("c0")).distinct())
-    return edit_neighbours(values, "c0", min_similarity / 100, values.count())
+    return edit_neighbours(values, "c0", min_similarity / 100, values.count(), q=q)
 
 
 def weighted_levenshtein_pairs(

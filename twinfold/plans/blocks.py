@@ -15,18 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .settings import block_rows as _block_rows
-from .settings import shuffle_width
+from .settings import block_rows, cut_lineage, shuffle_width
 
 
 def key_sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _blocks(limit: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(limit)))).cast("int")
-
-
 def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns])
 
@@ -41,6 +36,32 @@ def _tidy(joined: DataFrame, keys: Sequence[str], tile: Sequence[str]) -> DataFr
     return joined.select(*kept, *[F.col(c) for c in joined.columns if c not in gone])
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys held by more than ``limit`` rows with their number of blocks, if any.
+
+    Counting combines before its shuffle. The table holds at most one key per
+    ``limit`` rows; written out, its size is known, so Spark broadcasts it only
+    where that is small.
+    """
+    blocks = F.ceil(F.col("_n") / F.lit(float(limit))).cast("int").alias("_b")
+    hot = cut_lineage(key_sizes(rows, keys).where(F.col("_n") > limit).select(*keys, blocks))
+    return hot if hot.take(1) else None
+
+
+def direct_pairs(
+    rows: DataFrame, keys: Sequence[str], id_col: str, keep: Callable[[], Column] | None = None
+) -> DataFrame:
+    """:func:`self_pairs` for keys known not to be hot.
+
+    Both sides of the join read one and the same shuffle.
+    """
+    shared = rows.repartition(shuffle_width(rows.sparkSession), *keys)
+    on = _on(keys) & (F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
+    if keep is not None:
+        on = on & keep()
+    return _tidy(_side(shared, "l").join(_side(shared, "r"), on), keys, keys)
+
+
 def self_pairs(
     rows: DataFrame,
     keys: Sequence[str],
@@ -53,26 +74,26 @@ def self_pairs(
 
     Every column of ``rows`` other than the keys comes back twice, with ``_l``
     and ``_r``, the smaller id left. ``keep`` must be symmetric, as it is applied
-    before the ends are put in order. A pair that shares several keys comes back once per key. Without keys all
-    rows are compared, and ``size`` is their number.
+    before the ends are put in order. A pair that shares several keys comes back
+    once per key. Without keys all rows are compared, and ``size`` is their
+    number.
     """
     spark = rows.sparkSession
-    limit = limit or _block_rows(spark)
+    limit = limit or block_rows(spark)
     width = shuffle_width(spark)
     if keys:
-        # A key held by one row has no pairs: the inner join drops it here.
-        sizes = key_sizes(rows, keys).where("_n > 1")
-        sized = rows.join(sizes, list(keys)).withColumn("_b", _blocks(limit)).drop("_n")
+        hot = hot_keys(rows, keys, limit)
+        if hot is None:
+            return direct_pairs(rows, keys, id_col, keep)
+        sized = _with_blocks(rows, hot, keys)
     else:
         # Enough tiles to keep every core busy, none above the row limit.
         parts = max(-(-size // limit), min(int((4 * width) ** 0.5) + 1, -(-size // 32)), 1)
         sized = rows.withColumn("_b", F.lit(parts))
-    own = F.pmod(F.xxhash64(id_col), F.col("_b")).cast("int")
-    last = F.col("_b") - 1
+    own_block = sized.withColumn("_o", _block(id_col))
     tile = list(keys) + ["_i", "_j"]
-    own_block = sized.withColumn("_o", own)
     left = (
-        own_block.withColumn("_j", F.explode(F.sequence("_o", last)))
+        own_block.withColumn("_j", F.explode(F.sequence("_o", F.col("_b") - 1)))
         .withColumnRenamed("_o", "_i").drop("_b")
     )
     right = (
@@ -108,31 +129,31 @@ def probe_pairs(
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``keys`` where the left id is the smaller.
 
-    ``ordered=False`` leaves that condition out.
-
     ``left`` may hold several rows per id (the keys it looks for), ``right``
     one row per id. ``unique`` says the keys identify a right row, so no key can
-    be hot on that side and no tiling is needed.
+    be hot on that side. ``ordered=False`` leaves the condition on ids out.
     """
-    limit = limit or _block_rows(left.sparkSession)
     accept = F.lit(True)
     if ordered:
         accept = F.col(f"{id_col}_l") < F.col(f"{id_col}_r")
     if keep is not None:
         accept = accept & keep()
-    if unique:
+    hot = None if unique else hot_keys(right, keys, limit or block_rows(left.sparkSession))
+    if hot is None:
         return _tidy(_side(left, "l").join(_side(right, "r"), _on(keys) & accept), keys, keys)
-    sizes = key_sizes(right, keys)
-    block = F.pmod(F.xxhash64(id_col), F.col("_b")).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
     tile = list(keys) + ["_i", "_j"]
-
-    def sized(df):
-        return df.join(sizes, list(keys)).withColumn("_b", _blocks(limit)).drop("_n")
-
     width = shuffle_width(left.sparkSession)
-    lhs = sized(left).withColumn("_i", block).withColumn("_j", spread).drop("_b")
-    rhs = sized(right).withColumn("_j", block).withColumn("_i", spread).drop("_b")
+    lhs = _with_blocks(left, hot, keys).withColumn("_i", _block(id_col)).withColumn("_j", spread).drop("_b")
+    rhs = _with_blocks(right, hot, keys).withColumn("_j", _block(id_col)).withColumn("_i", spread).drop("_b")
     lhs = _side(lhs.repartition(width, *tile), "l")
     rhs = _side(rhs.repartition(width, *tile), "r")
     return _tidy(lhs.join(rhs, _on(tile) & accept), keys, tile)
+
+
+def _with_blocks(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.join(hot, list(keys), "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
+
+
+def _block(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.col("_b")).cast("int")

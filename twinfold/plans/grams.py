@@ -18,19 +18,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import self_pairs
-from .settings import HOT_GRAM_ROWS, conf_int, cut_lineage, shuffle_width
+from .blocks import direct_pairs, self_pairs
+from .settings import HOT_GRAM_ROWS, conf_int, cut_lineage
 
 _EDGE = "\u0001"
 _SLOTS = 65_536  # rows of the broadcast frequency table, whatever the data
 
 
-def bigrams(text) -> Column:
-    """Padded bigrams of a text, with repeats; one more than it has characters."""
+def qgrams(text, q: int = 2) -> Column:
+    """Padded q-grams of a text, with repeats; ``q - 1`` more than it has characters."""
     text = F.col(text) if isinstance(text, str) else text
-    edge = F.lit(_EDGE)
+    edge = F.lit(_EDGE * (q - 1))
     padded = F.concat(edge, text, edge)
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, 2))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + (q - 1)), lambda i: F.substring(padded, i, q))
+
+
+def gram_size(t: float) -> int:
+    """Longest useful q-gram (2 to 5) for an edit similarity of at least ``t``.
+
+    One edit spoils ``q`` grams, so ``1 - q (1 - t)`` of a text's grams survive;
+    longer grams are rarer, as long as enough of them are left.
+    """
+    return max([q for q in (2, 3, 4, 5) if 1 - q * (1 - t) >= 0.2], default=2)
 
 
 def word_bigrams(tokens: str) -> Column:
@@ -69,18 +78,8 @@ def deletion_pairs(values: DataFrame, id_col: str, text: str, depth: Column, kee
         F.array(F.xxhash64(whole)),
         F.when(depth >= 1, once).otherwise(none), F.when(depth >= 2, twice).otherwise(none),
     ))
-    carry = [c for c in carry]
-    keyed = values.select(F.explode(keys).alias("_tok"), id_col, *carry).repartition(
-        shuffle_width(values.sparkSession), "_tok"
-    )
-    return _met(keyed, id_col, keep)
-
-
-def _met(keyed: DataFrame, id_col: str, keep: Callable[[], Column]) -> DataFrame:
-    """Self-join on ``_tok``; both sides read the one shuffle of ``keyed``."""
-    l, r = [keyed.select(*[F.col(c).alias(f"{c}_{s}") for c in keyed.columns]) for s in "lr"]
-    on = (F.col("_tok_l") == F.col("_tok_r")) & (F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
-    return l.join(r, on & keep()).drop("_tok_l", "_tok_r")
+    keyed = values.select(F.explode(keys).alias("_tok"), id_col, *carry)
+    return direct_pairs(keyed, ["_tok"], id_col, keep).drop("_tok")
 
 
 def gram_pairs(
@@ -121,10 +120,9 @@ def gram_pairs(
     )
     is_hot = F.col("_f") > hot
     single = F.col("_rank") <= F.col("_prefix")
-    width = shuffle_width(spark)
     # At most ``hot`` rows hold a cold key, so it needs no tiles.
-    cold = ranked.where(single & ~is_hot).select("_tok", id_col, *carry).repartition(width, "_tok")
-    found = _met(cold, id_col, keep)
+    cold = ranked.where(single & ~is_hot).select("_tok", id_col, *carry)
+    found = direct_pairs(cold, ["_tok"], id_col, keep).drop("_tok")
     if not has_hot:
         return found
     lone = ranked.where(single & is_hot & (F.col("_need") < 2)).select("_tok", id_col, *carry)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import lev_sim, weighted_mean
 from ..functions.tokens import set_parts, set_ratio, set_ratio_bound
 from .blocks import probe_pairs, self_pairs
-from .grams import bigrams, deletion_pairs, gram_pairs, word_bigrams
+from .grams import deletion_pairs, gram_pairs, gram_size, qgrams, word_bigrams
 from .groups import all_pairs
 from .settings import cut_lineage
 
@@ -38,14 +38,19 @@ def column_bound(weight: float, total: float, t: float) -> float:
     return 1.0 - (1.0 - t) * total / weight
 
 
-def edit_neighbours(values: DataFrame, col: str, t: float, size: int, carry: Sequence[str] = ()) -> DataFrame:
+def edit_neighbours(
+    values: DataFrame, col: str, t: float, size: int, carry: Sequence[str] = (), q: int | None = None
+) -> DataFrame:
     """Pairs of distinct texts with edit similarity of at least ``t``, as ``sim``.
 
     ``values`` holds each text once, in ``col``; ``size`` is about how many. Ends
     come back as ``v_l, v_r``, or as the ``carry`` columns (the first of which is
     unique) when given. Few texts are compared directly, as are all when
-    ``t < 0.5``, where a match need not share a bigram.
+    ``t < 0.5``, where a match need not share a bigram. ``q`` sets the gram
+    length, which otherwise follows from ``t``.
     """
+    if q is not None and (q < 1 or 1 - q * (1 - t) < -EPS):
+        raise ValueError(f"grams of {q} characters could miss matches at {100 * t} percent")
     own = list(carry) or ["v"]
     v = values.select(F.col(col).alias("v"), *carry)
     longer = F.greatest(F.length("v_l"), F.length("v_r"))
@@ -74,9 +79,10 @@ def edit_neighbours(values: DataFrame, col: str, t: float, size: int, carry: Seq
         found = deletion_pairs(near, own[0], "v", depth, few, carry=rest).select(*ends, sim)
         far = v.where(F.length("v") / F.lit(t) + EPS > short)
         if short == 0 or far.take(1):
-            # d edits leave max_len + 1 - 2d shared bigrams, and d <= (1 - t) max_len.
-            need = F.ceil(F.lit(1.0) + F.lit(2 * t - 1) * F.length("v") - EPS)
-            found = found.unionByName(gram_pairs(far, own[0], bigrams("v"), need, many, carry=rest).select(*ends, sim))
+            # d edits leave max_len + q - 1 - q d shared grams, and d <= (1 - t) max_len.
+            q = q or gram_size(t)
+            need = F.ceil(F.lit(float(q - 1)) + F.lit(1 - q * (1 - t)) * F.length("v") - EPS)
+            found = found.unionByName(gram_pairs(far, own[0], qgrams("v", q), need, many, carry=rest).select(*ends, sim))
         found = found.distinct()
     return found.where(F.col("sim") >= t - EPS)
 
