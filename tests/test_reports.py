@@ -156,8 +156,8 @@ def test_own_method_and_scorer(people):
 
         def compare(self, df, bdv):
             base = edit.levenshtein_pairs(df, "gender")
-            scored = registry.custom_scorer(base.pairs, lambda p: F.when(F.col("similarity") == 100, 100).otherwise(0))
-            return PairTable(scored, base.members)
+            scored = registry.custom_scorer(base.across, lambda p: F.when(F.col("similarity") == 100, 100).otherwise(0))
+            return PairTable(scored, base.members, base.inside)
 
     try:
         assert set(record_pairs(registry.run("Same gender", people, "name")).values()) == {0.0, 100.0}

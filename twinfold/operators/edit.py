@@ -86,15 +86,14 @@ def _edit_pairs(keyed: DataFrame, cols: Sequence[str], weights: Sequence[float],
         else:
             keep = lambda: mean >= F.lit(float(min_similarity))
             pairs = compact(all_pairs(groups, "gid", keep=keep), mean)
-    pairs = pairs.unionByName(copies(groups, F.lit(100.0)))
-    return PairTable(pairs, members)
+    return PairTable(pairs, members, copies(groups, F.lit(100.0)))
 
 
 def constant_pairs(keyed: DataFrame, min_similarity: float | None) -> PairTable:
     """No column carries weight: every pair of records scores 0."""
     one = keyed.select("rid", F.lit(0).alias("c0"))
     groups, members = value_groups(one, ["c0"])
-    pairs = copies(groups, F.lit(0.0))
+    inside = copies(groups, F.lit(0.0))
     if min_similarity is not None and min_similarity > 0:
-        pairs = pairs.where(F.lit(False))
-    return PairTable(pairs, members)
+        inside = inside.where(F.lit(False))
+    return PairTable(inside.where(F.lit(False)), members, inside)

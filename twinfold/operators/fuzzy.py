@@ -42,7 +42,7 @@ def fuzzy_pairs(
     ).where(F.col("similarity") >= threshold)
     if max(bounds) <= 0:
         pairs = final(all_pairs(groups, "gid"))
-        return PairTable(pairs.unionByName(inside), members)
+        return PairTable(pairs, members, inside)
     lookups, residuals, order = [], [], []
     for n, x, bound, size in zip(names, w, bounds, cardinalities(groups, names)):
         if bound > 0:
@@ -59,7 +59,7 @@ def fuzzy_pairs(
             residuals.append(Residual(x, F.lit(100.0)))
     joined = match_groups(groups, lookups, [], residuals, order, threshold, unique=not residuals, scale=100.0)
     pairs = final(joined.drop("similarity")) if residuals else compact(joined, F.col("similarity"))
-    return PairTable(pairs.unionByName(inside), members)
+    return PairTable(pairs, members, inside)
 
 
 def _scored(joined: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -46,4 +46,4 @@ def phonetic_candidates(df: DataFrame, col: str) -> PairTable:
     groups, members = value_groups(df.select("rid", as_text(col).alias("c0")), ["c0"])
     coded = groups.select("gid", "n", metaphone("c0").alias("code"))
     pairs = compact(self_pairs(coded, ["code"], "gid"), F.lit(100.0))
-    return PairTable(pairs.unionByName(copies(groups, F.lit(100.0))), members)
+    return PairTable(pairs, members, copies(groups, F.lit(100.0)))

@@ -138,13 +138,13 @@ def similarity_nodes(edges: DataFrame) -> DataFrame:
 def record_degrees(pairs: PairTable, threshold: float = 80.0) -> DataFrame:
     """``rid, degree`` of the record graph, from group sizes instead of record pairs."""
     sizes = pairs.members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    rows = filter_pairs(pairs.pairs, threshold)
-    across = rows.where("gid_l < gid_r")
+    across = filter_pairs(pairs.across, threshold)
     to = across.select(F.col("gid_l").alias("node"), F.col("gid_r").alias("gid")).union(
         across.select("gid_r", "gid_l")
     )
     to = to.join(sizes, "gid").groupBy("node").agg(F.sum("size").alias("d"))
-    own = rows.where("gid_l = gid_r").select(F.col("gid_l").alias("node")).join(
+    copies = across.limit(0) if pairs.inside is None else filter_pairs(pairs.inside, threshold)
+    own = copies.select(F.col("gid_l").alias("node")).join(
         sizes.withColumnRenamed("gid", "node"), "node"
     ).select("node", (F.col("size") - 1).alias("d"))
     total = to.unionByName(own).groupBy("node").agg(F.sum("d").alias("degree")).withColumnRenamed("node", "gid")

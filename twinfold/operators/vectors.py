@@ -171,11 +171,9 @@ def embedding_pairs(
         (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n_pairs"),
     )
     found = tile_pairs(groups, metric, size, cutoff).withColumn("n_pairs", F.col("n_l") * F.col("n_r"))
-    pairs = found.select("gid_l", "gid_r", "n_pairs", "distance").unionByName(inside)
-    pairs = pairs.select("gid_l", "gid_r", "n_pairs", similarity.alias("similarity"))
-    if min_similarity is not None:
-        pairs = pairs.where(F.col("similarity") >= min_similarity)
-    return PairTable(pairs, members, {"vectors": vectors})
+    scored = lambda rows: rows.select("gid_l", "gid_r", "n_pairs", similarity.alias("similarity"))
+    table = PairTable(scored(found), members, scored(inside), {"vectors": vectors})
+    return table if min_similarity is None else table.at_least(min_similarity)
 
 
 def ann_pairs(

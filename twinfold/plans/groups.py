@@ -23,33 +23,40 @@ from .settings import cut_lineage
 class PairTable:
     """Scored pairs of groups, and which records each group holds.
 
-    ``pairs``: ``gid_l, gid_r, n_pairs, similarity`` with ``gid_l <= gid_r``;
-    equal ids stand for the pairs among the copies inside one group.
-    ``members``: ``gid, rid``. A group id is the smallest ``rid`` in the group.
+    ``across``: ``gid_l, gid_r, n_pairs, similarity`` with ``gid_l < gid_r``.
+    ``inside``: the same columns with equal ids, for the pairs among the copies
+    of one group. ``members``: ``gid, rid``. A group id is the smallest ``rid`` in
+    the group.
     """
 
-    pairs: DataFrame
+    across: DataFrame
     members: DataFrame
+    inside: DataFrame | None = None
     artifacts: dict = field(default_factory=dict)
 
+    @property
+    def pairs(self) -> DataFrame:
+        """Both kinds of pair rows."""
+        return self.across if self.inside is None else self.across.unionByName(self.inside)
+
     def records(self) -> DataFrame:
         """Pairs of records ``rid_l, rid_r, similarity`` with ``rid_l < rid_r``."""
         a = self.members.select(F.col("gid").alias("gid_l"), F.col("rid").alias("_a"))
         b = self.members.select(F.col("gid").alias("gid_r"), F.col("rid").alias("_b"))
-        across = (
-            self.pairs.where("gid_l < gid_r").join(a, "gid_l").join(b, "gid_r")
+        singly = (
+            self.across.join(a, "gid_l").join(b, "gid_r")
             .select(F.least("_a", "_b").alias("rid_l"), F.greatest("_a", "_b").alias("rid_r"), "similarity")
         )
-        same = self.pairs.where("gid_l = gid_r").select(F.col("gid_l").alias("gid"), "similarity")
-        inside = (
-            self_pairs(self.members.join(same.select("gid"), "gid"), ["gid"], "rid")
-            .join(same, "gid")
-            .select("rid_l", "rid_r", "similarity")
-        )
-        return across.unionByName(inside)
+        if self.inside is None:
+            return singly
+        same = self.inside.select(F.col("gid_l").alias("gid"), "similarity")
+        copies = self_pairs(self.members.join(same, "gid"), ["gid"], "rid")
+        return singly.unionByName(copies.select("rid_l", "rid_r", F.col("similarity_l").alias("similarity")))
 
     def at_least(self, min_similarity: float) -> "PairTable":
-        return PairTable(self.pairs.where(F.col("similarity") >= min_similarity), self.members, self.artifacts)
+        passing = F.col("similarity") >= min_similarity
+        inside = None if self.inside is None else self.inside.where(passing)
+        return PairTable(self.across.where(passing), self.members, inside, self.artifacts)
 
 
 def null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:

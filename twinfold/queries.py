@@ -11,6 +11,7 @@ from .operators import classifier, clusters, composite, edit, fuzzy, lsh, phonet
 from .functions.phonetic import metaphone
 from .functions.scores import words
 from .plans.groups import PairTable, all_pairs, distinct_value_pairs
+from .plans.settings import cut_lineage
 from .registry import custom_scorer
 from .sources.records import fill_missing, with_rid
 
@@ -216,7 +217,7 @@ def term_counts_documents(spark, d):
 
 def _document_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One pair per pair of near-equal texts: the first record of each group."""
-    found = lsh.lsh_pairs(docs, "text", threshold).pairs.where("gid_l < gid_r")
+    found = lsh.lsh_pairs(docs, "text", threshold).across
     return found.select(F.col("gid_l").alias("rid_l"), F.col("gid_r").alias("rid_r"))
 
 
@@ -240,11 +241,11 @@ def split_labels_documents(spark, d):
 
 def classifier_documents(spark, d):
     docs = table(spark, d, "documents")
-    pairs = lsh.lsh_pairs(docs, "text", 0.5, exact=True).pairs.where("gid_l < gid_r")
-    labels = pairs.select(
+    pairs = lsh.lsh_pairs(docs, "text", 0.5, exact=True).across
+    labels = cut_lineage(pairs.select(
         F.col("gid_l").alias("rid_l"), F.col("gid_r").alias("rid_r"),
         (F.col("similarity") >= 80).cast("int").alias("y"),
-    )
+    ))
     return _out(classifier.classifier_pairs(docs, ["text"], ["n_chars"], labels, labels.select("rid_l", "rid_r")))
 
 
@@ -280,7 +281,7 @@ def edges_part(spark, d):
 
 
 def nodes_part(spark, d):
-    edges = reports.similarity_edges(_part_pairs(spark, d).pairs.where("gid_l < gid_r"), 70.0)
+    edges = reports.similarity_edges(_part_pairs(spark, d).across, 70.0)
     return reports.similarity_nodes(edges)
 
 
@@ -295,7 +296,7 @@ def universe_part(spark, d):
 
 def top_pairs_part(spark, d):
     found = edit.weighted_levenshtein_pairs(table(spark, d, "part"), WEIGHTS, 90.0)
-    across = found.pairs.where("gid_l < gid_r").withColumn("similarity", F.round("similarity", 6))
+    across = found.across.withColumn("similarity", F.round("similarity", 6))
     return reports.top_pairs(across, 25)
 
 
