@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import direct_pairs, self_pairs
-from .settings import HOT_GRAM_ROWS, conf_int, cut_lineage
+from .settings import HOT_GRAM_ROWS, conf_int, cut_lineage, spread
 
 _EDGE = "\u0001"
 _SLOTS = 65_536  # rows of the broadcast frequency table, whatever the data
@@ -34,12 +34,13 @@ def qgrams(text, q: int = 2) -> Column:
 
 
 def gram_size(t: float) -> int:
-    """Longest useful q-gram (2 to 5) for an edit similarity of at least ``t``.
+    """Gram length (2 or 3) for an edit similarity of at least ``t``.
 
-    One edit spoils ``q`` grams, so ``1 - q (1 - t)`` of a text's grams survive;
-    longer grams are rarer, as long as enough of them are left.
+    One edit spoils ``q`` grams, so ``1 - q (1 - t)`` of a text's grams survive.
+    Longer grams are rarer, but each edit spoils more of them, and the prefix then
+    reaches into the parts that many texts share.
     """
-    return max([q for q in (2, 3, 4, 5) if 1 - q * (1 - t) >= 0.2], default=2)
+    return 3 if 1 - 3 * (1 - t) >= 0.2 else 2
 
 
 def word_bigrams(tokens: str) -> Column:
@@ -72,13 +73,13 @@ def deletion_pairs(values: DataFrame, id_col: str, text: str, depth: Column, kee
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     once = F.transform(places, lambda i: F.xxhash64(without(i)))
     twice = F.flatten(F.transform(places, lambda i: F.transform(
-        F.filter(places, lambda j: j > i), lambda j: F.xxhash64(without_two(i, j))
+        F.slice(places, i + 1, n), lambda j: F.xxhash64(without_two(i, j))
     )))
     keys = F.array_distinct(F.concat(
         F.array(F.xxhash64(whole)),
         F.when(depth >= 1, once).otherwise(none), F.when(depth >= 2, twice).otherwise(none),
     ))
-    keyed = values.select(F.explode(keys).alias("_tok"), id_col, *carry)
+    keyed = spread(values).select(F.explode(keys).alias("_tok"), id_col, *carry)
     return direct_pairs(keyed, ["_tok"], id_col, keep).drop("_tok")
 
 
@@ -97,7 +98,7 @@ def gram_pairs(
     spark = values.sparkSession
     hot = conf_int(spark, "hotGramRows", HOT_GRAM_ROWS)
     carry = list(carry)
-    base = values.select(id_col, *carry, need.cast("int").alias("_need"), F.explode(grams).alias("_g"))
+    base = spread(values, id_col).select(id_col, *carry, need.cast("int").alias("_need"), F.explode(grams).alias("_g"))
     # Repeats of one bigram become separate tokens: first, second, ...
     tokens = (
         base.groupBy(id_col, *carry, "_need", "_g").agg(F.count(F.lit(1)).cast("int").alias("_c"))

@@ -74,14 +74,15 @@ def edit_neighbours(
         near = v.where(F.length("v") <= short)
         longest = F.least(F.lit(short), F.floor(F.length("v") / F.lit(t) + EPS))
         depth = F.floor(F.lit(1.0 - t) * longest + EPS)
-        few = lambda: close() & (longer <= short)
-        many = lambda: close() & (longer > short)
+        few = lambda: (longer <= short) & close()
+        many = lambda: (longer > short) & close()
         found = deletion_pairs(near, own[0], "v", depth, few, carry=rest).select(*ends, sim)
-        far = v.where(F.length("v") / F.lit(t) + EPS > short)
-        if short == 0 or far.take(1):
+        if v.where(F.length("v") > short).take(1):
+            far = v.where(F.length("v") / F.lit(t) + EPS > short)
             # d edits leave max_len + q - 1 - q d shared grams, and d <= (1 - t) max_len.
             q = q or gram_size(t)
-            need = F.ceil(F.lit(float(q - 1)) + F.lit(1 - q * (1 - t)) * F.length("v") - EPS)
+            lengths = F.sequence(F.length("v"), F.floor(F.length("v") / F.lit(t) + EPS).cast("int"))
+            need = F.array_min(F.transform(lengths, lambda m: m + (q - 1) - q * F.floor(F.lit(1.0 - t) * m + EPS)))
             found = found.unionByName(gram_pairs(far, own[0], qgrams("v", q), need, many, carry=rest).select(*ends, sim))
         found = found.distinct()
     return found.where(F.col("sim") >= t - EPS)
