@@ -1,14 +1,14 @@
-"""Exact candidate joins for texts: shared bigrams, or few deletions.
+"""Exact candidate joins for texts: shared q-grams, or few deletions.
 
-Two texts within an edit bound share at least ``need`` of their padded bigrams,
-counted with repeats. With all bigrams in one global order, a pair that shares
+Two texts within an edit bound share at least ``need`` of their padded q-grams,
+counted with repeats. With all grams in one global order, a pair that shares
 ``need`` of them shares one among the first ``size - need + 1`` of each text
 (prefix filtering), so only that prefix is joined. The order is by how many
-texts hold the bigram, rarest first, which keeps common bigrams out of the join.
+texts hold the gram, rarest first, which keeps common grams out of the join.
 
-A bigram that is common and still in the prefix is joined together with a second
-one: a pair sharing two bigrams shares two in a prefix one longer, so common
-bigrams are paired up and each such pair is a key. No candidate is lost.
+A gram that is common and still in the prefix is joined together with a second
+one: a pair sharing two grams shares two in a prefix one longer, so common grams
+are paired up and each such pair is a key. No candidate is lost.
 """
 
 from __future__ import annotations

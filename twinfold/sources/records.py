@@ -21,7 +21,7 @@ def read_records(spark: SparkSession, path: str, schema=None, na_values=NA_VALUE
 
     Without a schema the column types are inferred after the missing-value
     texts are blanked, so one ``NA`` does not turn a numeric column into text.
-    Dates stay strings, as they do in the reference data model.
+    Dates stay strings; date columns are parsed where they are compared.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
