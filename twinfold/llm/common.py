@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -100,9 +101,9 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
-    def look_up(self, keys: list[str]) -> dict:
+    def look_up(self, keys: set[str]) -> dict:
         """A map that holds at least ``keys``."""
-        wanted = set(keys).difference(self.young)
+        wanted = keys.difference(self.young)
         if len(self.young) + len(wanted) > self.limit:
             self.old, self.young = self.young, {}
             wanted = set(keys)
@@ -114,3 +115,44 @@ class Memo:
             new = list(wanted)
             self.young.update(zip(new, self.encode(new), strict=True))
         return self.young
+
+
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the text each is in.
+
+    A word is a longest run of letters and digits, in lower case.
+    """
+    lowered = [t.lower() + " " for t in texts]
+    code = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in lowered])
+    inside = _word_characters()[code]
+    edge = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    if not len(edge):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    code = code[inside].astype(np.uint64)
+    first = np.zeros(len(inside), np.int64)
+    first[edge] = 1
+    word = np.cumsum(first[inside]) - 1
+    starts = np.searchsorted(word, np.arange(len(edge)))
+    place = np.arange(len(code)) - starts[word]
+    spread_out = mix(code * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix(np.add.reduceat(spread_out, starts)), row[edge]
+
+
+def windows(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``n`` words inside one text, and the place of each run's first word."""
+    size = len(words) - n + 1
+    if size <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.zeros(size, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + words[k: k + size]
+    at = np.flatnonzero(owner[:size] == owner[n - 1:])
+    return mix(h[at]), at

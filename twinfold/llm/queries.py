@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality
+from . import decontaminate, language_id, minhash_near, piece_codec, quality
 from .common import table
 
 ORACLE: dict[str, str] = {}
 
 
+def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return piece_codec.op3_pieces(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_near_documents(spark: SparkSession, d: str) -> DataFrame:
+    return minhash_near.op7_near_documents(table(spark, d, "documents"))
+
+
 def op9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.op9_quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -21,6 +34,9 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_pieces": op3_pieces,
+    "op7_near_documents": op7_near_documents,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
