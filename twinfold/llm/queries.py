@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, minhash_near, piece_codec, quality
+from . import decontaminate, language_id, minhash_near, piece_codec, quality, token_counts, token_output
 from .common import table
 
 ORACLE: dict[str, str] = {}
@@ -21,10 +21,18 @@ def op3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return piece_codec.op3_pieces(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_token_output(spark: SparkSession, d: str) -> DataFrame:
+    return token_output.op5_token_output(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_near_documents(spark: SparkSession, d: str) -> DataFrame:
     return minhash_near.op7_near_documents(table(spark, d, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.op8_token_counts(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.op9_quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -36,7 +44,9 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_pieces": op3_pieces,
+    "op5_token_output": op5_token_output,
     "op7_near_documents": op7_near_documents,
+    "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
