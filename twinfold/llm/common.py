@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -112,8 +113,13 @@ class Memo:
             self.young.update((k, self.old[k]) for k in found)
             wanted -= found
         if wanted:
-            new = list(wanted)
-            self.young.update(zip(new, self.encode(new), strict=True))
+            new, collects = list(wanted), gc.isenabled()
+            gc.disable()  # many small objects, none in a cycle
+            try:
+                self.young.update(zip(new, self.encode(new), strict=True))
+            finally:
+                if collects:
+                    gc.enable()
         return self.young
 
 

@@ -20,6 +20,7 @@ from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import Memo, map_batches, slices, texts_of
 
 MARK = "▁"
-MEMO_WORDS = 400_000  # distinct words a Python worker remembers
+MEMO_WORDS = 600_000  # distinct words a Python worker remembers
 _CHARS = 1 << 21
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,11 +161,10 @@ def encode_stretches(m: PieceModel, stretches: list[str]) -> list[list[int]]:
     """Ids of texts made of known characters only."""
     sizes = np.array([len(s) for s in stretches], np.int64)
     base = np.cumsum(sizes) - sizes
-    found = list(m.automaton.iter("".join(stretches)))
-    if not found:
+    flat = np.fromiter(chain.from_iterable(m.automaton.iter("".join(stretches))), np.int64)
+    if not len(flat):
         return [[] for _ in stretches]
-    flat = np.array(found, np.int64)
-    stop, token = flat[:, 0], flat[:, 1]
+    stop, token = flat[::2], flat[1::2]
     owner = np.searchsorted(base, stop, side="right") - 1
     while True:  # empty stretches share a base with the next one
         empty = sizes[owner] == 0
@@ -226,7 +226,7 @@ def _memo(path: str) -> Memo:
 
     def encode(keys):
         marked = [k if k[0] in MARK + "\n" else MARK + k for k in keys]
-        return [(array("I", x).tobytes(), "".join(f"{i} " for i in x)) for x in encode_marked(m, marked)]
+        return [array("I", x).tobytes() for x in encode_marked(m, marked)]
 
     return Memo(encode, MEMO_WORDS)
 
@@ -249,21 +249,31 @@ def _keys(text: str) -> list[str]:
     return _RUNS.findall(marked)
 
 
-def encode(texts: list[str], path: str) -> list[tuple[np.ndarray, str]]:
-    """For each text its ids with the end id, and the same in decimal joined by spaces."""
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """For each text its ids with the end id."""
     m, memo = load(path), _memo(path)
     end = np.array([m.end_id], np.uint32).tobytes()
     out = []
     for lo, hi in slices(texts, _CHARS):
         keys = [_keys(t) for t in texts[lo:hi]]
-        words = memo.look_up({k for own in keys for k in own})
-        for own in keys:
-            found = [words[k] for k in own]
-            ids = b"".join([f[0] for f in found]) + end
-            out.append((np.frombuffer(ids, np.uint32), "".join([f[1] for f in found]) + str(m.end_id)))
+        words = memo.look_up(set().union(*keys))
+        out += [np.frombuffer(b"".join([words[k] for k in own]) + end, np.uint32) for own in keys]
     return out
 
 
+@lru_cache(maxsize=2)
+def _digits(size: int) -> np.ndarray:
+    """Decimal digits of 0 .. size-1 and a space, each padded with zero bytes to the same width."""
+    width = len(str(size)) + 1
+    return np.frombuffer(b"".join(f"{i} ".encode().ljust(width, b"\0") for i in range(size)), np.uint8).reshape(size, width)
+
+
+def decimal(ids: np.ndarray, path: str) -> bytes:
+    """Ids in decimal joined by one space."""
+    digits = _digits(len(load(path).out))[ids].ravel()
+    return digits[digits != 0][:-1].tobytes()
+
+
 def decode(ids: np.ndarray, path: str) -> str:
     """The text of ids: the first mark goes, bytes join to characters, each bad byte becomes U+FFFD.
 
@@ -296,9 +306,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def work(batch):
         texts = texts_of(batch)
         n, first, second = [], [], []
-        for ids, decimal in encode(texts, path):
+        for ids in encode(texts, path):
             n.append(len(ids))
-            first.append(sha256(decimal.encode()).hexdigest())
+            first.append(sha256(decimal(ids, path)).hexdigest())
             second.append(sha256(decode(ids, path).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first), pa.array(second)],
                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

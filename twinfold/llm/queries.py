@@ -7,24 +7,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, minhash_near, piece_codec, quality, token_counts, token_output
+from . import class_lm, decontaminate, language_id, license_scan, minhash_near, piece_codec, quality, token_counts, token_output, vector_near
 from .common import table
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_near_vectors": vector_near.OP2_SQL,
+    "op6_license_scan": license_scan.op6_sql(),
+}
 
 
 def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op2_near_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vector_near.op2_near_vectors(table(spark, d, "embeddings"))
+
+
 def op3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return piece_codec.op3_pieces(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_class_lm(spark: SparkSession, d: str) -> DataFrame:
+    return class_lm.op4_class_lm(table(spark, d, "documents"))
+
+
 def op5_token_output(spark: SparkSession, d: str) -> DataFrame:
     return token_output.op5_token_output(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.op6_license_scan(table(spark, d, "documents"))
+
+
 def op7_near_documents(spark: SparkSession, d: str) -> DataFrame:
     return minhash_near.op7_near_documents(table(spark, d, "documents"))
 
@@ -43,8 +58,11 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_near_vectors": op2_near_vectors,
     "op3_pieces": op3_pieces,
+    "op4_class_lm": op4_class_lm,
     "op5_token_output": op5_token_output,
+    "op6_license_scan": op6_license_scan,
     "op7_near_documents": op7_near_documents,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,

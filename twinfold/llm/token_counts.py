@@ -75,7 +75,7 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     for lo, hi in slices(texts, _CHARS):
         parts = [stretches(t) for t in texts[lo:hi]]
         heads = _memo(path, "").look_up({p[0] for p in parts})
-        words = _memo(path, " ").look_up({k for p in parts for k in p[1:]})
+        words = _memo(path, " ").look_up(set().union(*[p[1:] for p in parts]))
         out += [heads[p[0]] + sum([words[k] for k in p[1:]]) for p in parts]
     return out
 

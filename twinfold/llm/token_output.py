@@ -179,7 +179,7 @@ def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     out = []
     for lo, hi in slices(texts, _CHARS):
         parts = [t.replace("\n", " ").split(" ") for t in texts[lo:hi]]
-        known = _memo(path).look_up({k for p in parts for k in p})
+        known = _memo(path).look_up(set().union(*parts))
         out += [np.frombuffer(b"".join([known[k] for k in p]) + end, np.uint32) for p in parts]
     return out
 
