@@ -8,9 +8,10 @@ Two documents agree in a slot with the probability Jaccard as probability.
 
 Documents with equal counts are one before any pair is formed. Documents that
 share a band are candidates; a 192-bit sketch drops those far below the threshold
-(five standard deviations) and the rest are verified on their whole texts. A large
-bucket is not expanded: its members meet leaders first, and only documents that no
-leader has joined are compared further.
+(five standard deviations) and the rest are verified on their whole texts. The pairs
+of a bucket are never written out: its members meet a leader first, in several
+rounds; then documents outside the leader's class are compared with the others block
+by block, in one task each, and there a pair is skipped once its classes have met.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
 # At similarity 0.8 sketches differ in 19 of 192 bits, with a standard deviation of 4.2.
 MAX_BITS = 40
-LEADER_ROUNDS = 3
-_CHARS = 1 << 22
+LEADER_ROUNDS = 2
+BLOCK = 512  # documents per side of one comparison
+FILTER_BITS = 24
+_CHARS = 1 << 20
 _STEP, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -129,37 +132,84 @@ def _verify(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], names=["a", "b", "similarity"])
 
 
-def _differ(x: str, y: str):
-    return sum(F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in (1, 2, 3))
+def _pick(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, text`` of the documents in ``ids``, one row each.
 
+    A bit set of hashed ids, of fixed size, keeps most other texts out of the shuffle.
+    """
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def sift(batch):
+        s = batch.column("s").to_numpy()
+        yield batch.filter(pa.array((shared.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1)).select([0, 1])
+
+    near = map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("s")), sift, "doc_id bigint, text string")
+    return scratch.write(near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-class _Candidates:
-    """Pairs compared so far and the links found among them."""
 
-    def __init__(self, docs: DataFrame, crowd: DataFrame, scratch: Scratch):
-        self.scratch = scratch
-        ids = crowd.select("doc_id").distinct()
-        self.texts = scratch.write(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        self.tables, self.seen, self.links = [self.texts], None, None
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    found = map_batches(pairs.join(left, "a").join(right, "b"), _verify, "a bigint, b bigint, similarity double")
+    return found.where(F.col("similarity") >= MIN_SIMILARITY - 1e-9).select("a", "b")
 
-    def compare(self, pairs: DataFrame) -> bool:
-        """Verify the pairs (a < b) not seen before; whether there were any."""
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = self.scratch.write(pairs)
-        self.tables.append(pairs)
-        if pairs.isEmpty():
-            return False
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        left = self.texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = self.texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        found = map_batches(pairs.join(left, "a").join(right, "b"), _verify, "a bigint, b bigint, similarity double")
-        found = self.scratch.write(found.where(F.col("similarity") >= MIN_SIMILARITY))
-        self.links = found if self.links is None else self.links.union(found)
-        return True
 
-    def classes(self) -> DataFrame:
-        return self.scratch.write(components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+def _compare(table: pa.Table) -> pa.Table:
+    """Links that join classes, between the documents of one tile outside the leader's class and the others."""
+    ids, own, group = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "minor", "c"))
+    sketch = np.column_stack([table.column(f"s{k}").to_numpy() for k in (1, 2, 3)]).view(np.uint64)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    band, asks = table.column("band")[0].as_py(), table.column("asks").to_numpy(zero_copy_only=False)
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    far = np.zeros((len(x), len(y)), np.int64)
+    for k in range(3):
+        far += np.bitwise_count(sketch[x, k][:, None] ^ sketch[y, k][None, :])
+    # Two documents outside the leader's class meet in two tiles; the lesser id asks.
+    at = np.nonzero((far <= MAX_BITS) & (group[x][:, None] != group[y][None, :]) & (~own[y][None, :] | (ids[x][:, None] < ids[y][None, :])))
+    left, right = x[at[0]], y[at[1]]
+    same = bands[left] == bands[right]
+    here = bands[left, same.argmax(axis=1)] == band  # a pair is compared in its first common band
+    left, right = left[here], right[here]
+    if not len(left):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    needed, texts = np.unique(np.concatenate([left, right])), table.column("text")
+    keys, counts, doc = shingles([texts[k].as_py() or "" for k in needed.tolist()])
+    vocabulary, word = np.unique(keys, return_inverse=True)
+    ends = np.searchsorted(doc, np.arange(len(needed) + 1))
+    size, mass = np.diff(ends), np.bincount(doc, counts, minlength=len(needed))
+    plain = mass == size  # no shingle twice: the probability Jaccard is the plain one
+    names, place = np.unique(group, return_inverse=True)
+    parent, a, b = np.arange(len(names)), [], []
+    for i in np.unique(left):
+        k, row = np.searchsorted(needed, i), np.zeros(len(vocabulary))
+        row[word[ends[k]:ends[k + 1]]] = counts[ends[k]:ends[k + 1]]
+        others = right[np.searchsorted(left, i):np.searchsorted(left, i, side="right")]
+        others = others[parent[place[others]] != parent[place[i]]]
+        if not len(others):
+            continue
+        m = np.searchsorted(needed, others)
+        first = np.cumsum(size[m]) - size[m]
+        at = np.repeat(ends[m] - first, size[m]) + np.arange(size[m].sum())
+        mine = row[word[at]]
+        both = np.add.reduceat(mine > 0, first).astype(float)
+        share = np.minimum(np.add.reduceat(mine, first) / mass[k], np.add.reduceat(np.where(mine > 0, counts[at], 0), first) / mass[m])
+        sim = np.where(plain[m] & plain[k], both / (size[m] + size[k] - both), -1.0)
+        for n in np.flatnonzero((sim < 0) & (share >= MIN_SIMILARITY - 1e-9)):  # no similarity exceeds the common share
+            x, y = slice(ends[k], ends[k + 1]), slice(ends[m[n]], ends[m[n] + 1])
+            sim[n] = probability_jaccard(keys[x], counts[x], keys[y], counts[y])
+        for j in others[sim >= MIN_SIMILARITY - 1e-9]:
+            if parent[place[j]] != parent[place[i]]:
+                parent[parent == parent[place[j]]] = parent[place[i]]
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -174,51 +224,64 @@ def near_classes(docs: DataFrame) -> DataFrame:
     signed = scratch.write(map_batches(docs, _sign, "doc_id bigint, bag1 bigint, bag2 bigint, bands array<bigint>,"
                                                     " s1 bigint, s2 bigint, s3 bigint"))
     bags = signed.where("bag1 IS NOT NULL AND doc_id IS NOT NULL")
-    # Band values are a function of the bag, so any member's stand for all.
     heads = scratch.write(bags.groupBy("bag1", "bag2").agg(F.min("doc_id").alias("rep")))
-    kept = bags.join(heads.select("rep").distinct(), bags["doc_id"] == F.col("rep"), "left_semi")
-    rows = kept.select("doc_id", "s1", "s2", "s3", F.explode("bands").alias("band"))
-    rows = rows.withColumn("c", F.col("doc_id"))
+    kept = bags.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = scratch.write(kept.drop("bag1", "bag2"))
+    rows = kept.select("doc_id", F.explode("bands").alias("band"))
+    shared = scratch.write(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"))
+    places = scratch.write(rows.join(shared, "band"))
+    crowd = scratch.write(places.join(kept.drop("bands"), "doc_id"))
+    texts = _pick(docs, crowd.select("doc_id").distinct(), scratch)
+    spent = [kept, shared, places, crowd, texts]
+    links, classes = None, None
+    crowded = crowd.withColumn("c", F.col("doc_id"))
     head = F.struct("doc_id", "s1", "s2", "s3", "c")
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(head).alias("lead"))
-    buckets = scratch.write(buckets.where("n > 1").select("band", "lead"))
-    crowd = scratch.write(rows.join(buckets.select("band"), "band"))
-    work = _Candidates(docs, crowd, scratch)
-    classes = None
-    open_crowd = crowd
-    for turn in range(LEADER_ROUNDS):
-        pairs = open_crowd.alias("m").join(buckets.alias("k"), F.col("m.band") == F.col("k.band"))
-        pairs = pairs.where((F.col("m.c") != F.col("k.lead.c")) & (_differ("m", "k.lead") <= MAX_BITS))
-        pairs = pairs.select(F.least("m.doc_id", "k.lead.doc_id").alias("a"), F.greatest("m.doc_id", "k.lead.doc_id").alias("b"))
-        work.compare(pairs.distinct())
-        if work.links is None:
-            break
-        classes = work.classes()
-        open_crowd = crowd.drop("c").join(classes, F.col("doc_id") == F.col("node"), "left").select(
-            "band", "doc_id", "s1", "s2", "s3", F.coalesce("root", "doc_id").alias("c"))
-        order = F.xxhash64("doc_id", F.lit(turn))
-        buckets = open_crowd.groupBy("band").agg(
+    for turn in range(LEADER_ROUNDS + 1):
+        buckets = crowded.groupBy("band").agg(
             F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"),
-            F.min_by(head, order).alias("lead"))
-        buckets = scratch.write(buckets.where("low < high AND n > 2").select("band", "lead"))
+            F.min_by(head, F.xxhash64("doc_id", F.lit(turn))).alias("lead"))
+        buckets = scratch.write(buckets.where("low < high AND n > 2" if turn else "low < high"))
+        spent.append(buckets)
         if buckets.isEmpty():
             break
-    else:
-        rest = scratch.write(open_crowd.join(buckets.select("band"), "band"))
-        pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band"))
-                                     & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))
-                                     & (_differ("x", "y") <= MAX_BITS))
-        if work.compare(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()):
-            classes = work.classes()
+        met = crowded.join(buckets.select("band", "lead", "n"), "band")
+        if turn < LEADER_ROUNDS:
+            lead = F.col("lead.doc_id")
+            bits = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"lead.s{k}"))) for k in (1, 2, 3))
+            pairs = met.where((F.col("c") != F.col("lead.c")) & (bits <= MAX_BITS))
+            pairs = scratch.write(pairs.select(F.least("doc_id", lead).alias("a"), F.greatest("doc_id", lead).alias("b")).distinct())
+            spent.append(pairs)
+            found = scratch.write(_verified(pairs, texts))
+        else:
+            found = scratch.write(_tiles(met, kept, texts).applyInArrow(_compare, "a bigint, b bigint"))
+        spent.append(found)
+        links = found if links is None else links.union(found)
+        classes = scratch.write(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        crowded = crowd.join(classes, F.col("doc_id") == F.col("node"), "left").select(
+            "band", "doc_id", "s1", "s2", "s3", F.coalesce("root", "doc_id").alias("c"))
     members = signed.select("doc_id", "bag1", "bag2").join(heads, ["bag1", "bag2"], "left")
     if classes is not None:
         members = members.join(classes, F.col("rep") == F.col("node"), "left")
     else:
         members = members.withColumn("root", F.lit(None).cast("bigint"))
-    scratch.drop(*work.tables)
+    scratch.drop(*spent)
     return members.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"))
 
 
+def _tiles(met: DataFrame, kept: DataFrame, texts: DataFrame):
+    """Members of unsettled buckets, dealt to tiles: a block outside the leader's class against a block of all."""
+    met = met.withColumn("minor", F.col("c") != F.col("lead.c")).drop("lead")
+    sizes = met.groupBy("band").agg(F.ceil(F.count_if("minor") / BLOCK).alias("asking"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    met = met.join(sizes, "band")
+    asking = met.where("minor").withColumn("p", deal("asking")).withColumn("q", every("all")).withColumn("asks", F.lit(True))
+    others = met.withColumn("q", deal("all")).withColumn("p", every("asking")).withColumn("asks", F.lit(False))
+    rows = asking.unionByName(others).drop("n", "asking", "all")
+    rows = rows.join(kept.select("doc_id", "bands"), "doc_id").join(texts, "doc_id")
+    return rows.groupBy("band", "p", "q")
+
+
 def op7_near_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, kept``: one row per document; the least doc_id of a class is kept."""
     return near_classes(docs).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
