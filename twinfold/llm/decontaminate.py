@@ -13,6 +13,8 @@ Smith-Waterman alignment tells copies, edited ones too, from chance.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ RARE_FACTOR = 8
 MIN_SCORE = 0.5  # of the score of an unchanged copy of the whole item
 FILTER_BITS = 24
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
-_CHARS = 1 << 22
+_CHARS = 1 << 20
 
 
 def align(window: np.ndarray, item: np.ndarray) -> tuple[float, int]:
@@ -63,6 +65,12 @@ def _item_grams(batch: pa.RecordBatch):
                                      names=["item_id", "gram", "place", "size"])
 
 
+def _rows(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column without nulls as arrays, without copies."""
+    flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return (flat[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()))
+
+
 def _bit_set(grams: DataFrame) -> np.ndarray:
     """The n-grams as a bit set of ``2 ** FILTER_BITS`` bits; at most 2 MB, whatever the benchmark's size."""
     slot = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
@@ -137,9 +145,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def judge(batch):
         score, low, high = [], [], []
-        for window, words, first in zip(batch.column("window").to_pylist(), batch.column("words").to_pylist(),
-                                        batch.column("first").to_pylist()):
-            window, words = np.array(window, np.int64), np.array(words, np.int64)
+        for window, words, first in zip(_rows(batch.column("window")), _rows(batch.column("words")), batch.column("first").to_pylist()):
             best, end = align(window, words)
             back, start = align(window[:end][::-1], words[::-1])
             score.append(best / len(words))
