@@ -23,12 +23,12 @@ def spark():
     session.stop()
 
 
-# A small table of visitors with spelling variants.
+# Invented rows with spelling variants; the tests compute their values by hand from these.
 PEOPLE = [
-    (1, "Fabian", 38, "M", "2021-09-05"), (2, "Fabian", 59, "M", "2021-09-15"), (3, "Fabienne", 21, "F", "2020-09-04"),
-    (4, "Fabienno", 59, "F", "2020-05-21"), (5, "Elisabety", 58, "F", "2021-10-23"), (6, "Elizabeth", 45, "F", "2021-07-19"),
-    (7, "Elisabeth", 21, "F", "2020-05-02"), (8, "Maria", 53, "F", "2020-12-29"), (9, "Mario", 43, "F", "2022-09-17"),
-    (10, "Jean", 25, "M", "2022-06-15"), (11, "Jeanne", 39, "F", "2020-02-05"), (12, "Fabian", 42, "M", "2021-12-11"),
+    (1, "Torsten", 31, "M", "2023-03-01"), (2, "Torsten", 64, "M", "2023-05-20"), (3, "Veronika", 27, "F", "2024-01-15"),
+    (4, "Veronica", 45, "F", "2023-11-02"), (5, "Catherina", 52, "F", "2024-06-30"), (6, "Katharina", 38, "F", "2023-08-08"),
+    (7, "Catharina", 29, "F", "2024-02-29"), (8, "Paula", 70, "F", "2023-01-11"), (9, "Paulo", 33, "M", "2024-04-04"),
+    (10, "Rene", 41, "M", "2023-09-19"), (11, "Renate", 58, "F", "2024-03-23"), (12, "Torsten", 36, "M", "2023-03-31"),
 ]
 
 

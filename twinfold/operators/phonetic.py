@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.phonetic import metaphone
 from ..plans.blocks import self_pairs
 from ..plans.groups import PairTable, compact, copies, value_groups
+from ..plans.settings import cut_lineage
 from ..sources.records import as_text, validate
 from .edit import _edit_pairs, constant_pairs
 
@@ -33,7 +34,11 @@ def metaphone_pairs(
     used = [(c, float(weights.get(c, 1.0))) for c in cols if float(weights.get(c, 1.0)) != 0]
     if not used:
         return constant_pairs(df, min_similarity)
-    keyed = phonetic_codes(df, [c for c, _ in used])
+    # Coding costs far more than a join: each distinct combination of texts is coded once.
+    texts = [f"t{i}" for i in range(len(used))]
+    groups, members = value_groups(df.select("rid", *[as_text(c).alias(t) for t, (c, _) in zip(texts, used)]), texts)
+    coded = cut_lineage(groups.select("gid", *[metaphone(t).alias(f"c{i}") for i, t in enumerate(texts)]))
+    keyed = members.join(coded, "gid").drop("gid")
     return _edit_pairs(keyed, [f"c{i}" for i in range(len(used))], [w for _, w in used], min_similarity)
 
 

@@ -6,10 +6,11 @@ use ``n_pairs`` where it is present, so copies never have to be written out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.groups import PairTable
+from ..plans.settings import cut_lineage
 from ..sources.records import as_text, validate
 
 
@@ -67,8 +68,22 @@ def rank_pairs(pairs: PairTable | DataFrame) -> DataFrame:
 
 
 def top_pairs(pairs: PairTable | DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows of the ranking; each task keeps only ``n`` rows."""
-    return rank_pairs(pairs).limit(n)
+    """The first ``n`` rows of the ranking; each task keeps only ``n`` rows.
+
+    For a :class:`PairTable` these are pairs of records. They lie in the groups'
+    pairs down to the n-th best score, and of each group only its ``n + 1`` first
+    records can be among them, so a large group of copies is not written out.
+    """
+    if not isinstance(pairs, PairTable):
+        return rank_pairs(pairs).limit(n)
+    best = cut_lineage(pairs.pairs.orderBy(F.desc_nulls_last("similarity")).limit(n).select("similarity"))
+    lowest = best.agg(F.min("similarity").alias("low"), F.count_if(F.col("similarity").isNull()).alias("none")).first()
+    place = F.row_number().over(Window.partitionBy("gid").orderBy("rid"))
+    first = pairs.members.withColumn("_at", place).where(F.col("_at") <= n + 1).drop("_at")
+    found = PairTable(pairs.across, first, pairs.inside)
+    if not lowest["none"] and lowest["low"] is not None:
+        found = found.at_least(lowest["low"])
+    return rank_pairs(found.records()).limit(n)
 
 
 def record_universe(pairs: PairTable | DataFrame) -> DataFrame:

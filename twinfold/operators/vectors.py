@@ -75,7 +75,7 @@ def combine_vectors(df: DataFrame, blocks: dict[str, float], numerics: Sequence[
     if numerics:
         parts.append(F.array(*[F.col(c) for c in numerics]))
     if not parts:
-        raise ValueError("No columns selected for embedding.")
+        raise ValueError("an embedding needs a vector, text or number column")
     return df.withColumn("vec", F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
@@ -85,7 +85,7 @@ def record_vectors(
 ) -> DataFrame:
     """``rid, vec``: the combined vector of each record."""
     if not list(vec_cols) and not list(numeric_cols):
-        raise ValueError("No columns selected for embedding.")
+        raise ValueError("an embedding needs a vector, text or number column")
     weights = weights or {}
     rows = text_vectors(df, vec_cols, encoder, dims)
     if numeric_cols:
@@ -96,7 +96,7 @@ def record_vectors(
 
 def _check(metric: str) -> None:
     if metric not in METRICS:
-        raise ValueError(f"Unsupported distance metric: {metric}")
+        raise ValueError(f"unknown metric {metric!r}, known are {METRICS}")
 
 
 def own_distance(metric: str) -> Column:
@@ -186,7 +186,7 @@ def ann_pairs(
     be missed; :func:`pair_distance` misses none.
     """
     if metric not in ("cosine", "euclidean"):
-        raise ValueError(f"Unsupported distance metric: {metric}")
+        raise ValueError(f"unknown metric {metric!r}, known are {METRICS}")
     rows = vectors.select("rid", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     limit = max_distance
     if metric == "cosine":

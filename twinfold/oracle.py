@@ -354,21 +354,33 @@ ORACLE["no_clusters_embeddings"] = "SELECT vec_id AS rid, -1 AS cluster FROM emb
 _TERMS = r"tc AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1, 2)"
 ORACLE["term_counts_documents"] = f"WITH {_TERMS} SELECT doc_id AS rid, term, tf FROM tc"
 
-_DOC_PAIRS = f"{_signatures(128)}, {_banded(0.8, 128)}"
 _C2 = f"{ONE_SIDED**2!r}::DOUBLE"
+# Pairs of records first, then counted by the texts they hold.
+_DOC_PAIRS = f"""{_signatures(128)}, {_banded(0.8, 128)},
+    sg AS (SELECT s.doc_id, g.gid FROM sigs s JOIN g USING (sig)),
+    near AS (SELECT gid_l, gid_r FROM cand UNION ALL SELECT gid, gid FROM g),
+    v AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, n_chars)::BIGINT AS rep FROM documents),
+    rp AS (
+      SELECT a.doc_id AS l, b.doc_id AS r FROM sg a JOIN sg b ON a.doc_id < b.doc_id
+      JOIN near ON gid_l = least(a.gid, b.gid) AND gid_r = greatest(a.gid, b.gid)
+    ),
+    dp AS (
+      SELECT least(x.rep, y.rep) AS rid_l, greatest(x.rep, y.rep) AS rid_r, count(*)::BIGINT AS n_pairs
+      FROM rp JOIN v x ON x.doc_id = l JOIN v y ON y.doc_id = r GROUP BY 1, 2
+    )"""
 ORACLE["pair_features_documents"] = f"""
     WITH {_DOC_PAIRS}, {_TERMS},
     norm AS (SELECT doc_id, sum(tf * tf) AS t FROM tc GROUP BY 1),
     shared AS (
-      SELECT gid_l, gid_r, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sa, sum(b.tf * b.tf) AS sb
-      FROM cand JOIN tc a ON a.doc_id = gid_l JOIN tc b ON b.doc_id = gid_r AND b.term = a.term GROUP BY 1, 2
+      SELECT rid_l, rid_r, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sa, sum(b.tf * b.tf) AS sb
+      FROM dp JOIN tc a ON a.doc_id = rid_l JOIN tc b ON b.doc_id = rid_r AND b.term = a.term GROUP BY 1, 2
     )
-    SELECT c.gid_l AS rid_l, c.gid_r AS rid_r,
+    SELECT c.rid_l, c.rid_r, c.n_pairs,
            round(coalesce(dot / sqrt((sa + {_C2} * (na.t - sa)) * (sb + {_C2} * (nb.t - sb))), 0.0), 6)::DOUBLE AS sim_text,
            abs(da.n_chars - db.n_chars)::DOUBLE AS diff_n_chars
-    FROM cand c LEFT JOIN shared s ON s.gid_l = c.gid_l AND s.gid_r = c.gid_r
-    LEFT JOIN norm na ON na.doc_id = c.gid_l LEFT JOIN norm nb ON nb.doc_id = c.gid_r
-    JOIN documents da ON da.doc_id = c.gid_l JOIN documents db ON db.doc_id = c.gid_r"""
+    FROM dp c LEFT JOIN shared s USING (rid_l, rid_r)
+    LEFT JOIN norm na ON na.doc_id = c.rid_l LEFT JOIN norm nb ON nb.doc_id = c.rid_r
+    JOIN documents da ON da.doc_id = c.rid_l JOIN documents db ON db.doc_id = c.rid_r"""
 
 _C = f"{ONE_SIDED!r}::DOUBLE"
 ORACLE["pair_features_nation"] = f"""
@@ -391,10 +403,10 @@ ORACLE["pair_features_nation"] = f"""
 
 ORACLE["split_labels_documents"] = f"""
     WITH {_DOC_PAIRS}
-    SELECT gid_l AS rid_l, gid_r AS rid_r,
-           (('0x' || substr(md5(gid_l || '-' || gid_r || '-label42'), 1, 8))::BIGINT % 2)::INTEGER AS y,
-           CASE WHEN ('0x' || substr(md5(gid_l || '-' || gid_r || '-split42'), 1, 8))::BIGINT < {int(0.2 * 2**32)} THEN 1 ELSE 0 END AS held_out
-    FROM cand"""
+    SELECT rid_l, rid_r, n_pairs,
+           (('0x' || substr(md5(rid_l || '-' || rid_r || '-label42'), 1, 8))::BIGINT % 2)::INTEGER AS y,
+           CASE WHEN ('0x' || substr(md5(rid_l || '-' || rid_r || '-split42'), 1, 8))::BIGINT < {int(0.2 * 2**32)} THEN 1 ELSE 0 END AS held_out
+    FROM dp"""
 
 
 def _histogram(pairs: str, bins: int) -> str:
@@ -419,24 +431,28 @@ ORACLE["matrix_part"] = f'WITH {_PART_NAMES} SELECT gid_l AS "row", gid_r AS col
 ORACLE["edges_part"] = (
     f"WITH {_PART_NAMES} SELECT gid_l AS source, gid_r AS target, round(s, 6) AS weight, n_pairs::BIGINT AS n_pairs FROM p WHERE s >= 70.0"
 )
-ORACLE["nodes_part"] = f"""
-    WITH {_PART_NAMES}, e AS (SELECT * FROM p WHERE s >= 70.0 AND gid_l < gid_r)
-    SELECT node, count(*)::BIGINT AS degree FROM (SELECT gid_l AS node FROM e UNION ALL SELECT gid_r FROM e) GROUP BY 1"""
-ORACLE["degrees_part"] = f"""
-    WITH e AS (
-      SELECT a.p_partkey AS u, count(*)::BIGINT AS degree FROM part a JOIN part b ON a.p_partkey <> b.p_partkey
-      WHERE {_lev('a.p_name', 'b.p_name')} * 100 >= 70.0 GROUP BY 1
-    )
-    SELECT u AS rid, degree FROM e"""
+_DEGREES = f"""
+    SELECT a.p_partkey AS {{name}}, count(*)::BIGINT AS degree FROM part a JOIN part b ON a.p_partkey <> b.p_partkey
+    WHERE {_lev('a.p_name', 'b.p_name')} * 100 >= 70.0 GROUP BY 1"""
+ORACLE["nodes_part"] = _DEGREES.format(name="node")
+ORACLE["degrees_part"] = _DEGREES.format(name="rid")
 ORACLE["universe_part"] = f"""
     WITH e AS (
       SELECT a.p_partkey AS u, b.p_partkey AS v FROM part a JOIN part b ON a.p_partkey < b.p_partkey
       WHERE {_lev('a.p_name', 'b.p_name')} * 100 >= 80.0
     )
     SELECT u AS rid FROM e UNION SELECT v FROM e"""
+_PART_PAIR = _mean([_lev(f"a.{c}", f"b.{c}") for c in _PART], _PART_WEIGHTS)
 ORACLE["top_pairs_part"] = f"""
-    SELECT * FROM ({_lev_pairs('part', 'p_partkey', _PART, _PART_WEIGHTS, 90.0)}) WHERE gid_l < gid_r
-    ORDER BY similarity DESC, gid_l, gid_r LIMIT 25"""
+    SELECT a.p_partkey AS rid_l, b.p_partkey AS rid_r, round({_PART_PAIR} * 100, 6) AS similarity
+    FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE {_PART_PAIR} * 100 >= 90.0
+    ORDER BY {_PART_PAIR} DESC, rid_l, rid_r LIMIT 25"""
+_TYPE_PAIRS = _PART_NAMES.replace("p_name", "p_type")
+ORACLE["matrix_wide_type"] = f"""
+    WITH {_TYPE_PAIRS},
+    k AS (SELECT gid, row_number() OVER (ORDER BY gid) - 1 AS at FROM (SELECT gid_l AS gid FROM p UNION SELECT gid_r FROM p))
+    SELECT r.gid AS "row", {', '.join(f'max(CASE WHEN c.at = {i} THEN round(s, 6) END) AS c{i}' for i in range(6))}
+    FROM k r LEFT JOIN p ON gid_l = r.gid LEFT JOIN k c ON c.gid = gid_r GROUP BY 1"""
 ORACLE["attach_customer"] = f"""
     SELECT a.c_custkey AS rid_l, b.c_custkey AS rid_r, round({_lev('a.c_name', 'b.c_name')} * 100, 6) AS similarity,
            a.c_name AS c_name_l, a.c_mktsegment AS c_mktsegment_l, b.c_name AS c_name_r, b.c_mktsegment AS c_mktsegment_r

@@ -51,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             named = tempfile.mkdtemp(prefix="twinfold-checkpoint-")
         sc.setCheckpointDir(named)

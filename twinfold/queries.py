@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import classifier, clusters, composite, edit, fuzzy, lsh, phonetic, reports, vectors
 from .functions.phonetic import metaphone
 from .functions.scores import words
-from .plans.groups import PairTable, all_pairs, distinct_value_pairs
+from .plans.groups import PairTable, all_pairs, copies, distinct_value_pairs, value_groups
 from .plans.settings import cut_lineage
 from .registry import custom_scorer
 from .sources.records import fill_missing, with_rid
@@ -215,15 +215,25 @@ def term_counts_documents(spark, d):
     return classifier.term_counts(table(spark, d, "documents"), "text")
 
 
-def _document_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One pair per pair of near-equal texts: the first record of each group."""
-    found = lsh.lsh_pairs(docs, "text", threshold).across
-    return found.select(F.col("gid_l").alias("rid_l"), F.col("gid_r").alias("rid_r"))
+def _document_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(texts, members, pairs)``: all near-equal pairs of records, copies of one text as one.
+
+    A pair of texts stands for ``n_pairs`` pairs of records with the same features;
+    the pairs among the copies of one text have equal ends.
+    """
+    groups, members = value_groups(docs.select("rid", "text", "n_chars"), ["text", "n_chars"])
+    texts = groups.withColumnRenamed("gid", "rid")
+    found = lsh.lsh_pairs(texts, "text", threshold).records().select("rid_l", "rid_r")
+    for s in "lr":
+        found = found.join(groups.select(F.col("gid").alias(f"rid_{s}"), F.col("n").alias(f"n_{s}")), f"rid_{s}")
+    across = found.select("rid_l", "rid_r", (F.col("n_l") * F.col("n_r")).alias("n_pairs"))
+    inside = copies(groups, F.lit(100.0)).select(F.col("gid_l").alias("rid_l"), F.col("gid_r").alias("rid_r"), "n_pairs")
+    return texts, members, cut_lineage(across.unionByName(inside))
 
 
 def pair_features_documents(spark, d):
-    docs = table(spark, d, "documents")
-    found = classifier.pair_features(docs, ["text"], ["n_chars"], _document_pairs(docs))
+    texts, _, pairs = _document_pairs(table(spark, d, "documents"))
+    found = classifier.pair_features(texts, ["text"], ["n_chars"], pairs).join(pairs, ["rid_l", "rid_r"])
     return found.withColumn("sim_text", F.round("sim_text", 6))
 
 
@@ -233,20 +243,20 @@ def pair_features_nation(spark, d):
 
 
 def split_labels_documents(spark, d):
-    docs = table(spark, d, "documents")
-    features = classifier.pair_labels(_document_pairs(docs))
+    features = classifier.pair_labels(_document_pairs(table(spark, d, "documents"))[2])
     train, test = classifier.split_pairs(features)
     return train.withColumn("held_out", F.lit(0)).unionByName(test.withColumn("held_out", F.lit(1)))
 
 
 def classifier_documents(spark, d):
-    docs = table(spark, d, "documents")
-    pairs = lsh.lsh_pairs(docs, "text", 0.5, exact=True).across
-    labels = cut_lineage(pairs.select(
-        F.col("gid_l").alias("rid_l"), F.col("gid_r").alias("rid_r"),
-        (F.col("similarity") >= 80).cast("int").alias("y"),
-    ))
-    return _out(classifier.classifier_pairs(docs, ["text"], ["n_chars"], labels, labels.select("rid_l", "rid_r")))
+    """Do two near texts have the same quality label? Labels are known for some documents only."""
+    texts, members, pairs = _document_pairs(table(spark, d, "documents"), 0.5)
+    quality = spark.read.parquet(f"{d}/labels.parquet").groupBy(F.col("doc_id").alias("rid")).agg(F.max("quality").alias("q"))
+    y = pairs.select("rid_l", "rid_r")
+    for s in "lr":
+        y = y.join(quality.select(F.col("rid").alias(f"rid_{s}"), F.col("q").alias(f"q_{s}")), f"rid_{s}")
+    labels = y.select("rid_l", "rid_r", (F.col("q_l") == F.col("q_r")).cast("int").alias("y"))
+    return _out(classifier.classifier_pairs(texts, ["text"], ["n_chars"], labels, pairs, members=members))
 
 
 def _part_pairs(spark, d):
@@ -275,18 +285,21 @@ def matrix_wide_type(spark, d):
     return wide.select("row", *[F.round(F.col(f"`{c}`"), 6).alias(f"c{i}") for i, c in enumerate(wide.columns[1:])])
 
 
+def _close_parts(spark, d):
+    return edit.levenshtein_pairs(table(spark, d, "part"), "p_name", 70.0)
+
+
 def edges_part(spark, d):
-    edges = reports.similarity_edges(_part_pairs(spark, d), 70.0)
+    edges = reports.similarity_edges(_close_parts(spark, d), 70.0)
     return edges.withColumn("weight", F.round("weight", 6))
 
 
 def nodes_part(spark, d):
-    edges = reports.similarity_edges(_part_pairs(spark, d).across, 70.0)
-    return reports.similarity_nodes(edges)
+    return reports.record_degrees(_close_parts(spark, d), 70.0).withColumnRenamed("rid", "node")
 
 
 def degrees_part(spark, d):
-    return reports.record_degrees(_part_pairs(spark, d), 70.0)
+    return reports.record_degrees(_close_parts(spark, d), 70.0)
 
 
 def universe_part(spark, d):
@@ -296,8 +309,7 @@ def universe_part(spark, d):
 
 def top_pairs_part(spark, d):
     found = edit.weighted_levenshtein_pairs(table(spark, d, "part"), WEIGHTS, 90.0)
-    across = found.across.withColumn("similarity", F.round("similarity", 6))
-    return reports.top_pairs(across, 25)
+    return _out(reports.top_pairs(found, 25))
 
 
 def attach_customer(spark, d):

@@ -225,7 +225,7 @@ class MinHashLsh(ComparisonMethod):
 class Embedding(ComparisonMethod):
     """Also leaves ``vectors`` and ``labels`` (cluster per record) in the artifacts."""
 
-    CLUSTERINGS = ("None", "KMeans", "Hierarchical", "DBSCAN")
+    CLUSTERINGS = ("None", "KMeans", "Hierarchical", "AgglomerativeClustering", "DBSCAN")
 
     @classmethod
     def name(cls):
@@ -254,7 +254,7 @@ class Embedding(ComparisonMethod):
         kind = p["clustering_algorithm"]
         if kind == "KMeans":
             labels = cluster_kmeans(vectors, p["num_clusters"])
-        elif kind == "Hierarchical":
+        elif kind in ("Hierarchical", "AgglomerativeClustering"):  # two names of one choice
             labels = cluster_hierarchical(vectors, p["num_clusters"])
         elif kind == "DBSCAN":
             labels = cluster_density(vectors, 0.5, p["distance_metric"])
