@@ -173,4 +173,4 @@ def op1_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay."""
     found = leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_leak"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_leak"], "left_anti")

@@ -290,4 +290,4 @@ def op7_near_documents(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are first of their class or have no class; all columns stay."""
     copies = near_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")

@@ -258,7 +258,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """
     counted = spark.read.parquet(f"{folder}/table").orderBy("id").toArrow()
     table = spark.sparkContext.broadcast(make_table(counted.column("n").to_numpy()))
-    frames = spark.read.parquet(f"{folder}/frames")
+    frames = spark.read.schema(FRAME_FIELDS).parquet(f"{folder}/frames")
     base, bases = 0, {}
     for r in frames.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         bases[r["part"]] = base
