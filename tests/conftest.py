@@ -43,13 +43,8 @@ def people(spark):
 @pytest.fixture
 def small_blocks(spark):
     """Settings that push tiny inputs through the tiled, hot-key and gram paths."""
-    import twinfold.plans.neighbours as neighbours
-
-    few = neighbours.FEW_VALUES
-    neighbours.FEW_VALUES = 0
     for name in ("blockRows", "hotGramRows", "vectorBlockRows"):
         spark.conf.set(f"spark.twinfold.{name}", "7")
     yield
-    neighbours.FEW_VALUES = few
     for name in ("blockRows", "hotGramRows", "vectorBlockRows"):
         spark.conf.unset(f"spark.twinfold.{name}")

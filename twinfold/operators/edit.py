@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import lev_sim, weighted_mean
+from ..plans.grams import gram_size
 from ..plans.groups import PairTable, all_pairs, cardinalities, compact, copies, value_groups
 from ..plans.neighbours import Lookup, Residual, both_ways, column_bound, edit_neighbours, match_groups
 from ..plans.settings import cut_lineage
@@ -39,7 +40,7 @@ def qgram_candidates(df: DataFrame, col: str, min_similarity: float, q: int | No
     if not 50 <= min_similarity <= 100:
         raise ValueError("min_similarity must be between 50 and 100")
     values = cut_lineage(df.select(as_text(col).alias("c0")).distinct())
-    return edit_neighbours(values, "c0", min_similarity / 100, values.count(), q=q)
+    return edit_neighbours(values, "c0", min_similarity / 100, values.count(), q=q or gram_size(min_similarity / 100))
 
 
 def weighted_levenshtein_pairs(

@@ -63,6 +63,14 @@ ORACLE["qgram_supplier"] = f"""
     SELECT a.v AS v_l, b.v AS v_r, round({_lev('a.v', 'b.v')}, 6) AS sim
     FROM v a JOIN v b ON a.v < b.v WHERE {_lev('a.v', 'b.v')} >= 0.94 - 1e-9"""
 
+ORACLE["lev_pages_url"] = _lev_pairs("pages", "page_id", ["url"], [1.0], 80.0)
+ORACLE["qgram_pages_url"] = f"""
+    WITH v AS (SELECT DISTINCT url AS v FROM pages)
+    SELECT a.v AS v_l, b.v AS v_r, round({_lev('a.v', 'b.v')}, 6) AS sim
+    FROM v a JOIN v b ON a.v < b.v WHERE {_lev('a.v', 'b.v')} >= 0.8 - 1e-9"""
+_DESCRIBED = """(SELECT c_custkey, c_name || ' ' || c_mktsegment || ' ' || c_nationkey || ' ' || round(c_acctbal)::BIGINT AS described FROM customer)"""
+ORACLE["lev_customer_described"] = _lev_pairs(_DESCRIBED, "c_custkey", ["described"], [1.0], 85.0)
+
 _PART = ["p_name", "p_type", "p_brand"]
 _PART_WEIGHTS = [1.0, 0.5, 1.0]
 ORACLE["weighted_lev_part"] = _lev_pairs("part", "p_partkey", _PART, _PART_WEIGHTS, 90.0)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,6 @@ from .groups import all_pairs
 from .settings import cut_lineage
 
 EPS = 1e-9
-FEW_VALUES = 1024  # up to here comparing all values costs less than any filter
 
 
 def column_bound(weight: float, total: float, t: float) -> float:
@@ -45,9 +45,8 @@ def edit_neighbours(
 
     ``values`` holds each text once, in ``col``; ``size`` is about how many. Ends
     come back as ``v_l, v_r``, or as the ``carry`` columns (the first of which is
-    unique) when given. Few texts are compared directly, as are all when
-    ``t < 0.5``, where a match need not share a bigram. ``q`` sets the gram
-    length, which otherwise follows from ``t``.
+    unique) when given. All texts are compared when ``t < 0.5``, where a match need
+    not share a bigram. ``q`` makes all pairs meet by grams of that length.
     """
     if q is not None and (q < 1 or 1 - q * (1 - t) < -EPS):
         raise ValueError(f"grams of {q} characters could miss matches at {100 * t} percent")
@@ -63,28 +62,28 @@ def edit_neighbours(
         return (longer - shorter <= F.expr(bound)) & (F.expr(f"levenshtein(v_l, v_r, {bound})") >= 0)
 
     ends = [F.col(f"{c}_{s}") for s in "lr" for c in own]
-    if t < 0.5 or size <= FEW_VALUES:
+    if t < 0.5:
         found = all_pairs(v, own[0], keep=close, size=size).select(*ends, sim)
     else:
         rest = ["v", *carry[1:]] if carry else []
         # Pairs split by the longer length: up to ``short`` characters few edits
         # are allowed and deletions find them, beyond it bigrams do. A text that
         # can be in either kind of pair goes both ways.
-        short = _short_length(t)
+        short = 0 if q else _short_length(t)
         near = v.where(F.length("v") <= short)
         longest = F.least(F.lit(short), F.floor(F.length("v") / F.lit(t) + EPS))
         depth = F.floor(F.lit(1.0 - t) * longest + EPS)
         few = lambda: (longer <= short) & close()
         many = lambda: (longer > short) & close()
-        found = deletion_pairs(near, own[0], "v", depth, few, carry=rest).select(*ends, sim)
-        if v.where(F.length("v") > short).take(1):
+        parts = [] if q else [deletion_pairs(near, own[0], "v", depth, few, carry=rest).select(*ends, sim)]
+        if q or v.where(F.length("v") > short).take(1):
             far = v.where(F.length("v") / F.lit(t) + EPS > short)
             # d edits leave max_len + q - 1 - q d shared grams, and d <= (1 - t) max_len.
             q = q or gram_size(t)
             lengths = F.sequence(F.length("v"), F.floor(F.length("v") / F.lit(t) + EPS).cast("int"))
             need = F.array_min(F.transform(lengths, lambda m: m + (q - 1) - q * F.floor(F.lit(1.0 - t) * m + EPS)))
-            found = found.unionByName(gram_pairs(far, own[0], qgrams("v", q), need, many, carry=rest).select(*ends, sim))
-        found = found.distinct()
+            parts.append(gram_pairs(far, own[0], qgrams("v", q), need, many, carry=rest).select(*ends, sim))
+        found = reduce(DataFrame.unionByName, parts).distinct()
     return found.where(F.col("sim") >= t - EPS)
 
 
@@ -110,7 +109,7 @@ def set_neighbours(values: DataFrame, col: str, t: float, size: int) -> DataFram
     v = values.where(F.size(col) > 0).select(
         F.array_join(F.col(col), " ").alias("v"), F.col(col).alias("w")
     )
-    if rho > 2 / 3 and size > FEW_VALUES:
+    if rho > 2 / 3:
         found = _by_words(v, rho).unionByName(_by_grams(v, rho)).distinct()
     else:
         found = all_pairs(v.select("v"), "v", size=size).select("v_l", "v_r")

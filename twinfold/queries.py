@@ -18,7 +18,7 @@ from .sources.records import fill_missing, with_rid
 # The key column that orders the pairs of each table.
 KEYS = {
     "supplier": "s_suppkey", "part": "p_partkey", "customer": "c_custkey", "orders": "o_orderkey",
-    "documents": "doc_id", "embeddings": "vec_id", "nation": "n_nationkey",
+    "documents": "doc_id", "embeddings": "vec_id", "nation": "n_nationkey", "pages": "page_id",
 }
 
 
@@ -54,6 +54,26 @@ def qgram_supplier(spark, d):
     return found.withColumn("sim", F.round("sim", 6))
 
 
+def lev_pages_url(spark, d):
+    """Addresses are longer than 40 characters, and hundreds are distinct: pairs meet by grams."""
+    return _out(edit.levenshtein_pairs(table(spark, d, "pages"), "url", 80.0))
+
+
+def qgram_pages_url(spark, d):
+    found = edit.qgram_candidates(table(spark, d, "pages"), "url", 80.0)
+    return found.withColumn("sim", F.round("sim", 6))
+
+
+def _described_customers(spark, d):
+    customer = table(spark, d, "customer")
+    text = F.concat_ws(" ", "c_name", "c_mktsegment", "c_nationkey", F.round("c_acctbal").cast("bigint"))
+    return customer.select("rid", text.alias("described"))
+
+
+def lev_customer_described(spark, d):
+    return _out(edit.levenshtein_pairs(_described_customers(spark, d), "described", 85.0))
+
+
 WEIGHTS = {"p_name": 1.0, "p_type": 0.5, "p_brand": 1.0}
 
 
@@ -344,7 +364,8 @@ def filled_labels(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        lev_supplier, lev_part_all, lev_part_min80, lev_customer_min94, qgram_supplier, weighted_lev_part,
+        lev_supplier, lev_part_all, lev_part_min80, lev_customer_min94, lev_pages_url, qgram_pages_url,
+        lev_customer_described, qgram_supplier, weighted_lev_part,
         weighted_lev_part_records, metaphone_words, metaphone_part, phonetic_candidates_part, fuzzy_part,
         composite_orders, composite_customer, band_orders, ranges_orders, lsh_documents, lsh_documents_exact,
         lsh_documents_wide, embedding_customer, embedding_documents, distance_bounds_embeddings, negative_distances,
