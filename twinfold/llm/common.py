@@ -53,15 +53,20 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``work`` on every Arrow batch, where the rows are read: no shuffle but for tiny inputs."""
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, scan: bool = False) -> DataFrame:
+    """``work`` on every Arrow batch, where the rows are; empty batches are passed over.
+
+    ``scan`` says that ``df`` is read from files as it is: if they are fewer than the
+    cores, the rows are dealt out first. (Asking a plan with joins for its number of
+    partitions would run it.)
+    """
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
 
-    return spread(df).mapInArrow(run, schema)
+    return (spread(df) if scan else df).mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -111,7 +111,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 [ids.slice(lo, hi - lo).take(pa.array(owner[at])), pa.array(gram.view(np.int64)), pa.array(at - begin[owner[at]])],
                 names=["doc_id", "gram", "place"])
 
-    hits = map_batches(docs, search, "doc_id bigint, gram bigint, place bigint")
+    hits = map_batches(docs, search, "doc_id bigint, gram bigint, place bigint", scan=True)
     hits = scratch.write(hits.join(grams.select("gram").distinct(), "gram", "left_semi"))
     spread_over = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
     seeds = grams.join(spread_over, "gram")

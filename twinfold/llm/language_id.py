@@ -186,7 +186,8 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             names=["doc_id", "lang_pred", "score", "contained"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double, contained double")
+    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double, contained double",
+                       scan=True)
 
 
 def op10_language_id(docs: DataFrame) -> DataFrame:
@@ -210,4 +211,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
         keep = (best >= 0) & (contained >= MIN_CONTAINED) & np.array([has_letter(t) for t in texts])
         yield batch.filter(pa.array(keep))
 
-    return map_batches(docs, work, docs.schema)
+    return map_batches(docs, work, docs.schema, scan=True)

@@ -222,7 +222,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = scratch.write(map_batches(docs, _sign, "doc_id bigint, bag1 bigint, bag2 bigint, bands array<bigint>,"
-                                                    " s1 bigint, s2 bigint, s3 bigint"))
+                                                    " s1 bigint, s2 bigint, s3 bigint", scan=True))
     bags = signed.where("bag1 IS NOT NULL AND doc_id IS NOT NULL")
     heads = scratch.write(bags.groupBy("bag1", "bag2").agg(F.min("doc_id").alias("rep")))
     kept = bags.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

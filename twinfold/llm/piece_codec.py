@@ -315,7 +315,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), work,
-                       f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                       f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", scan=True)
 
 
 def op3_pieces(docs: DataFrame, path: str) -> DataFrame:

@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
                                          names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, predicted int")
+    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, predicted int", scan=True)
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def work(batch):
         yield batch.filter(pa.array(scores(texts_of(batch), shared.value) >= 0.5))
 
-    return map_batches(docs, work, docs.schema)
+    return map_batches(docs, work, docs.schema, scan=True)

@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", "text")
     huge = rows.where(F.length("text") > CHUNK)
     counted = map_batches(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= CHUNK), short,
-                          f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+                          f"doc_id {kind}, n_bytes bigint, n_tokens bigint", scan=True)
     # A key of its own for each row, written down: doc_id may be null or repeated.
     todo = scratch.write(huge.withColumn("row", F.monotonically_increasing_id()))
     parts, chunk, overlap = [counted], CHUNK, OVERLAP
