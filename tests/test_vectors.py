@@ -137,4 +137,6 @@ def test_approximate_pairs_are_a_subset(spark):
 def test_distance_reports(spark):
     d = spark.createDataFrame([(0, 1, 0.5), (0, 2, -1e-9), (1, 2, 2.0)], "rid_l bigint, rid_r bigint, distance double")
     assert tuple(vectors.distance_bounds(d).first()) == (-1e-9, 2.0)
-    assert vectors.negative_distance_report(d).count() == 1
+    assert vectors.negative_distances(d).count() == 1
+    report = vectors.negative_distance_report(d).first()
+    assert (report.negative, report.any_negative, report.lowest) == (1, True, d.agg({"distance": "min"}).first()[0])

@@ -124,10 +124,15 @@ def distance_bounds(distances: DataFrame) -> DataFrame:
     )
 
 
-def vector_bounds(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """The bounds of :func:`distance_bounds` without writing out any pair."""
+def vector_bounds(vectors: DataFrame, metric: str = "cosine", groups: DataFrame | None = None) -> DataFrame:
+    """The bounds of :func:`distance_bounds` without writing out any pair.
+
+    ``negative`` counts the distances below zero. ``groups`` are the vectors'
+    :func:`value_groups` where they are at hand.
+    """
     _check(metric)
-    groups, _ = value_groups(vectors.select("rid", "vec"), ["vec"])
+    if groups is None:
+        groups, _ = value_groups(vectors.select("rid", "vec"), ["vec"])
     size = groups.count()
     inside = groups.where("n > 1").agg(F.max(own_distance(metric)).alias("inside"))
     tiles = tile_bounds(groups, metric, size)
@@ -138,11 +143,19 @@ def vector_bounds(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
     )
 
 
-def negative_distance_report(distances: DataFrame) -> DataFrame:
+def negative_distances(distances: DataFrame) -> DataFrame:
     """The pairs with a distance below zero (rounding can cause them)."""
     return distances.where("distance < 0")
 
 
+def negative_distance_report(distances: DataFrame) -> DataFrame:
+    """One row ``pairs, lowest, negative, any_negative``: is a distance below zero, and how many are?"""
+    return distances.agg(
+        F.count(F.lit(1)).alias("pairs"), F.min("distance").alias("lowest"),
+        F.count_if(F.col("distance") < 0).alias("negative"), F.coalesce(F.bool_or(F.col("distance") < 0), F.lit(False)).alias("any_negative"),
+    )
+
+
 def embedding_pairs(
     df: DataFrame, vec_cols: Sequence[str] = (), numeric_cols: Sequence[str] = (),
     weights: dict[str, float] | None = None, metric: str = "cosine", min_similarity: float | None = None,
@@ -160,7 +173,7 @@ def embedding_pairs(
     groups, members = value_groups(vectors, ["vec"])
     size = groups.count()
     if max_distance == "global":
-        row = vector_bounds(vectors, metric).first()
+        row = vector_bounds(vectors, metric, groups).first()
         top = max(row["max_distance"] or 0.0, 0.0) if row else 0.0
     else:
         top = float(max_distance)

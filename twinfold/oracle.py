@@ -335,9 +335,9 @@ ORACLE["distance_bounds_embeddings"] = f"""
     FROM e a JOIN e b ON a.vec_id < b.vec_id"""
 
 ORACLE["negative_distances"] = f"""
-    WITH {_VECTORS}
-    SELECT a.vec_id AS rid_l, b.vec_id AS rid_r, {_DISTANCE['manhattan']} AS distance
-    FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {_DISTANCE['manhattan']} < 0"""
+    WITH {_VECTORS}, d AS (SELECT {_DISTANCE['euclidean']} AS x FROM e a JOIN e b ON a.vec_id < b.vec_id)
+    SELECT count(*)::BIGINT AS pairs, round(min(x), 6) AS lowest, count(*) FILTER (x < 0) AS negative, coalesce(bool_or(x < 0), false) AS any_negative
+    FROM d WHERE x <= 1.3"""
 
 ORACLE["pair_distance_embeddings"] = f"""
     WITH {_VECTORS}

@@ -178,7 +178,8 @@ def distance_bounds_embeddings(spark, d):
 
 def negative_distances(spark, d):
     rows = table(spark, d, "embeddings").select("rid", F.col("embedding").alias("vec"))
-    return vectors.negative_distance_report(vectors.pair_distance(rows, "manhattan", 5.0))
+    found = vectors.negative_distance_report(vectors.pair_distance(rows, "euclidean", 1.3))
+    return found.withColumn("lowest", F.round("lowest", 6))
 
 
 def pair_distance_embeddings(spark, d):
