@@ -107,6 +107,17 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
+    def fetch(self, lists: list[list[str]]) -> list[list]:
+        """What each key of each list encodes to."""
+        get = self.young.get
+        found = [list(map(get, keys)) for keys in lists]
+        holes = [i for i, values in enumerate(found) if None in values]
+        if holes:
+            table = self.look_up({k for i in holes for k, v in zip(lists[i], found[i]) if v is None})
+            for i in holes:
+                found[i] = [table[k] if v is None else v for k, v in zip(lists[i], found[i])]
+        return found
+
     def look_up(self, keys: set[str]) -> dict:
         """A map that holds at least ``keys``."""
         wanted = keys.difference(self.young)
