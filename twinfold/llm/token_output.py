@@ -16,7 +16,11 @@ checkpoints (their words read so far, uint32, then states), words (uint32).
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +40,9 @@ MAGIC = b"TKF1"
 LANES = 1024
 ROWS_PER_BLOCK = 256
 CHECKPOINT = 64  # rows
+FLUSH_WORDS = 600_000
 FRAME_TOKENS = 1 << 20  # a frame is closed once it has as many
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 _CHARS = 1 << 21
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 
@@ -164,43 +170,113 @@ def decode_frame(data: bytes, table: Table) -> Iterator[tuple[int, np.ndarray]]:
         yield key, ids[lo:hi]
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+# Characters whose normal form and lower case are the same by all rules: printable ASCII and Latin letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ň]+")
+
+
+@lru_cache(maxsize=2)
+def _direct(path: str):
+    """Splitting expression, BPE model and special strings, where words can be given to the model itself.
+
+    Only for the steps known here: NFC, white space, lower case; one expression; bytes.
+    """
+    steps = json.loads(tokenizer(path).to_str())
+    normal = [n.get("type") for n in (steps["normalizer"] or {}).get("normalizers", [])]
+    split = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+    known = normal == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in split] == ["Split", "ByteLevel"]
+    if not known or split[0]["behavior"] != "Removed" or not split[0]["invert"] or split[1]["add_prefix_space"] or split[1]["use_regex"]:
+        return None
+    return regex.compile(split[0]["pattern"]["Regex"]), tokenizer(path).model, [t["content"] for t in steps["added_tokens"]]
+
+
+def word_ids(words: list[str], path: str) -> list[bytes]:
+    """Ids of each word as little-endian uint32, as the library gives them."""
+    direct, out, rest = _direct(path), [b""] * len(words), []
+    split, model, special = direct or (None, None, [])
+    for k, word in enumerate(words):
+        if direct and word.isascii() and word.isalpha():
+            out[k] = array("I", [t.id for t in model.tokenize(word.lower())]).tobytes()
+        elif direct and _PLAIN.fullmatch(word) and not any(s in word for s in special):
+            ids = []
+            for part in split.findall(word.lower()):
+                if not part.isascii():
+                    part = part.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                ids += [t.id for t in model.tokenize(part)]
+            out[k] = array("I", ids).tobytes()
+        else:
+            rest.append(k)
+    for k, e in zip(rest, tokenizer(path).encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+        out[k] = array("I", e.ids).tobytes()
+    return out
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
 @lru_cache(maxsize=2)
 def _memo(path: str) -> Memo:
-    def encode(keys):
-        return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer(path).encode_batch_fast(keys, add_special_tokens=False)]
+    return Memo(lambda words: word_ids(words, path), MEMO_WORDS)
 
-    return Memo(encode, MEMO_WORDS)
+
+def words_of(text: str) -> list[str]:
+    """What encodes independently where the tokenizer drops white space; some are empty."""
+    return text.replace("\n", " ").split(" ")
 
 
 def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of whole texts, the end id after each. For tokenizers that drop white space:
-    a text is cut at spaces and line feeds, and equal parts are encoded once."""
+    """Ids of whole texts, the end id after each; equal words are encoded once."""
     end = np.array([end_id], np.uint32).tobytes()
     out = []
     for lo, hi in slices(texts, _CHARS):
-        parts = [t.replace("\n", " ").split(" ") for t in texts[lo:hi]]
-        known = _memo(path).look_up(set().union(*parts))
-        out += [np.frombuffer(b"".join([known[k] for k in p]) + end, np.uint32) for p in parts]
+        parts = [words_of(t) for t in texts[lo:hi]]
+        out += [np.frombuffer(b"".join(found) + end, np.uint32) for found in _memo(path).fetch(parts)]
     return out
 
 
 def count_ids(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all texts; as long as the vocabulary."""
+    """How often each id occurs in all texts; as long as the vocabulary.
+
+    Words are counted first, so each distinct one is encoded once.
+    """
     size = max(tokenizer(path).get_vocab_size(), end_id + 1)
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        seen: Counter = Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for text in texts_of(batch):
+                seen.update(words_of(text))
+                if len(seen) > FLUSH_WORDS:
+                    yield rows()
+        if seen:
+            yield rows()
+
+    def encode(batches):
+        total = np.zeros(size)
         for batch in batches:
-            for ids in token_ids(texts_of(batch), path, end_id):
-                total += np.bincount(ids, minlength=size) if len(ids) > size else 0
-                if len(ids) <= size:
-                    np.add.at(total, ids, 1)
+            ids = word_ids(batch.column("word").to_pylist(), path)
+            lengths = np.array([len(x) // 4 for x in ids])
+            total += np.bincount(np.frombuffer(b"".join(ids), np.uint32), np.repeat(batch.column("n").to_numpy(), lengths), size)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen].astype(np.int64))], names=["id", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    words = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = words.mapInArrow(encode, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
+    counts[end_id] += docs.count()
     return counts
 
 
