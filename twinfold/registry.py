@@ -109,6 +109,9 @@ def _all(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != "rid"]
 
 
+# The names the methods below return are those callers look them up by.
+
+
 @register_method
 class Levenshtein(ComparisonMethod):
     @classmethod
