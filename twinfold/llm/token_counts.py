@@ -15,11 +15,13 @@ once.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -49,13 +51,51 @@ def guard(path: str) -> int:
     return max(GUARD, 2 * longest)
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+# Characters whose normal form and lower case are the same by all rules: printable ASCII and Latin letters.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ň]+")
+BYTE_CHARACTERS = _byte_characters()
+# Fixed value: the public splitting expression of byte-level BPE.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
 @lru_cache(maxsize=4)
-def _memo(path: str, before: str) -> Memo:
-    def encode(keys):
-        full = [k if k[:1] == "\n" else before + k for k in keys]
-        return [len(e.ids) for e in tokenizer(path).encode_batch_fast(full, add_special_tokens=False)]
+def _direct(path: str):
+    """Model and special strings, where words can be given to the model itself: bytes by the public expression."""
+    steps = json.loads(tokenizer(path).to_str())
+    split = steps["pre_tokenizer"] or {}
+    if steps["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+        return None
+    return tokenizer(path).model, [t["content"] for t in steps["added_tokens"]]
+
+
+def word_counts(words: list[str], path: str, before: str) -> list[int]:
+    """Tokens of each word after ``before``, which words that begin with a line feed lack."""
+    model, special = _direct(path) or (None, [])
+    out, rest, mapped = [0] * len(words), [], before.translate(BYTE_CHARACTERS)
+    for k, word in enumerate(words):
+        if model and word.isascii() and word.isalpha():
+            out[k] = len(model.tokenize(mapped + word))
+        elif model and PLAIN.fullmatch(word) and not any(s in word for s in special):
+            parts = _SPLIT.findall(before + word)
+            out[k] = sum([len(model.tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))) for p in parts])
+        else:
+            rest.append(k)
+    full = [words[k] if words[k][:1] == "\n" else before + words[k] for k in rest]
+    for k, e in zip(rest, tokenizer(path).encode_batch_fast(full, add_special_tokens=False)):
+        out[k] = len(e.ids)
+    return out
 
-    return Memo(encode, MEMO_WORDS)
+
+@lru_cache(maxsize=4)
+def _memo(path: str, before: str) -> Memo:
+    return Memo(lambda words: word_counts(words, path, before), MEMO_WORDS)
 
 
 _UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
@@ -74,9 +114,9 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     out = []
     for lo, hi in slices(texts, _CHARS):
         parts = [stretches(t) for t in texts[lo:hi]]
-        heads = _memo(path, "").look_up({p[0] for p in parts})
-        words = _memo(path, " ").look_up(set().union(*[p[1:] for p in parts]))
-        out += [heads[p[0]] + sum([words[k] for k in p[1:]]) for p in parts]
+        heads = _memo(path, "").fetch([[p[0] for p in parts]])[0]
+        words = _memo(path, " ").fetch([p[1:] for p in parts])
+        out += [head + sum(rest) for head, rest in zip(heads, words)]
     return out
 
 
@@ -126,11 +166,12 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     todo = scratch.write(huge.withColumn("row", F.monotonically_increasing_id()))
     parts, chunk, overlap = [counted], CHUNK, OVERLAP
     while not todo.isEmpty():
-        done = scratch.write(_spliced(todo, path, chunk, overlap))
+        encoded = scratch.write(_encoded(todo, path, chunk, overlap))  # read by several joins
+        done = scratch.write(_spliced(encoded, chunk))
         sizes = todo.join(done, "row", "left").select("row", "doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens")
         parts.append(scratch.write(sizes.where("n_tokens IS NOT NULL").select("doc_id", "n_bytes", "n_tokens")))
         rest = scratch.write(sizes.where("n_tokens IS NULL").select("doc_id", "text", "row"))
-        scratch.drop(todo, done)
+        scratch.drop(todo, encoded, done)
         todo, chunk, overlap = rest, chunk * 8, overlap * 8
     scratch.drop(todo)
     out = parts[0]
@@ -139,8 +180,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     return out
 
 
-def _spliced(todo: DataFrame, path: str, chunk_size: int, overlap: int) -> DataFrame:
-    """``row, n_tokens`` of the rows whose chunks meet in a stable place."""
+def _encoded(todo: DataFrame, path: str, chunk_size: int, overlap: int) -> DataFrame:
+    """``row, at, total, begin, stop`` of each chunk: its tokens, and the places where neighbours may meet."""
     edge = guard(path)
 
     def cut(batch):
@@ -169,8 +210,11 @@ def _spliced(todo: DataFrame, path: str, chunk_size: int, overlap: int) -> DataF
 
     marks = "array<struct<place:bigint,before:bigint>>"
     chunks = map_batches(todo.select("row", "text"), cut, "row bigint, at bigint, end boolean, chunk string")
-    encoded = map_batches(chunks.repartition("row", "at"), encode,
-                          f"row bigint, at bigint, total bigint, begin {marks}, stop {marks}")
+    return map_batches(chunks.repartition("row", "at"), encode, f"row bigint, at bigint, total bigint, begin {marks}, stop {marks}")
+
+
+def _spliced(encoded: DataFrame, chunk_size: int) -> DataFrame:
+    """``row, n_tokens`` of the rows whose chunks all meet in a stable place."""
     # The chunk on the right starts one chunk size further on; both ends meet at the first common place.
     right = encoded.select("row", (F.col("at") - chunk_size).alias("at"), F.explode("begin").alias("r"))
     left = encoded.select("row", "at", F.explode("stop").alias("l"))

@@ -17,7 +17,6 @@ checkpoints (their words read so far, uint32, then states), words (uint32).
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from array import array
 from collections import Counter
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..plans.settings import shared_folder
 from .common import Memo, map_batches, slices, texts_of
-from .token_counts import tokenizer
+from .token_counts import BYTE_CHARACTERS, PLAIN, tokenizer
 
 MAGIC = b"TKF1"
 LANES = 1024
@@ -170,17 +169,6 @@ def decode_frame(data: bytes, table: Table) -> Iterator[tuple[int, np.ndarray]]:
         yield key, ids[lo:hi]
 
 
-def _byte_characters() -> dict[int, str]:
-    """The printable character that byte-level BPE writes for each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-
-
-# Characters whose normal form and lower case are the same by all rules: printable ASCII and Latin letters.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ň]+")
-
-
 @lru_cache(maxsize=2)
 def _direct(path: str):
     """Splitting expression, BPE model and special strings, where words can be given to the model itself.
@@ -203,11 +191,11 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
     for k, word in enumerate(words):
         if direct and word.isascii() and word.isalpha():
             out[k] = array("I", [t.id for t in model.tokenize(word.lower())]).tobytes()
-        elif direct and _PLAIN.fullmatch(word) and not any(s in word for s in special):
+        elif direct and PLAIN.fullmatch(word) and not any(s in word for s in special):
             ids = []
             for part in split.findall(word.lower()):
                 if not part.isascii():
-                    part = part.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                    part = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
                 ids += [t.id for t in model.tokenize(part)]
             out[k] = array("I", ids).tobytes()
         else:
@@ -217,9 +205,6 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
     return out
 
 
-_BYTE_CHARACTERS = _byte_characters()
-
-
 @lru_cache(maxsize=2)
 def _memo(path: str) -> Memo:
     return Memo(lambda words: word_ids(words, path), MEMO_WORDS)
