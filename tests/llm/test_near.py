@@ -132,6 +132,31 @@ def test_leaks(spark):
     assert decontaminate.op1_decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_edited_copies_beside_a_full_one(spark):
+    """What many edited copies share is common, and still points to their item."""
+    item = [f"k{i}" for i in range(30)]
+    edited = list(item)
+    for k in (5, 14, 23):
+        edited[k] = f"new{k}"
+    docs = ["a b c " + " ".join(item)] + ["d e " + " ".join(edited) + f" f{i}" for i in range(50)] + [" ".join(item[:3]) + f" g{i} h i j" for i in range(20)]
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r.score for r in decontaminate.op1_decontaminate(df, bench).collect()}
+    assert got == {0: 1.0, **{i: pytest.approx(0.8) for i in range(1, 51)}}
+    assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == set(range(51, 71))
+
+
+def test_places_passed_over_score_too_little():
+    rng = random.Random(2)
+    passed = 0
+    for _ in range(300):
+        x, y = (np.array([rng.randrange(9) for _ in range(rng.randrange(1, 9))]) for _ in range(2))
+        if not decontaminate.can_reach(x, y):
+            passed += 1
+            assert decontaminate.align(x, y)[0] < decontaminate.MIN_SCORE * len(y)
+    assert passed > 50
+
+
 def test_alignment_is_smith_waterman():
     rng = random.Random(1)
     for _ in range(40):

@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare word n-grams point from documents to test items,
+"""Benchmark decontamination: shared word n-grams point from documents to test items,
 Smith-Waterman alignment tells copies, edited ones too, from chance.
 
 1. A bit set of all benchmark n-grams, of fixed size, is tested where the documents
    are read; only n-grams that pass are kept. It can pass too many, never too few.
-2. Documents per n-gram are counted over the whole corpus. An n-gram is a seed of an
-   item when it is rare among that item's own: in at most ``RARE_FACTOR`` times as
-   many documents as the item's lower quartile. So stock phrases point nowhere,
-   while an item copied into very many documents keeps all its seeds.
-3. Each seed names a document, an item and a diagonal; the words around that diagonal
-   are aligned with the item's words.
+2. Every n-gram that a document shares with an item is a seed, however common it is,
+   and names a document, an item and a diagonal.
+3. The words around that diagonal are aligned with the item's words. No alignment
+   scores more than the item's words that occur there, so places that share a stock
+   phrase and too little else are passed over without one.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_batches, slices, texts_of, windows, word_hashes
 
 WORDS = 3
-RARE_FACTOR = 8
 MIN_SCORE = 0.5  # of the score of an unchanged copy of the whole item
 FILTER_BITS = 24
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
@@ -45,6 +43,11 @@ def align(window: np.ndarray, item: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def can_reach(window: np.ndarray, item: np.ndarray) -> bool:
+    """Whether enough of the item's words occur in ``window``, in any order, for ``MIN_SCORE``."""
+    return int(np.isin(item, window).sum()) * MATCH >= MIN_SCORE * len(item)
+
+
 def _item_words(batch: pa.RecordBatch):
     texts = texts_of(batch)
     words, owner = word_hashes(texts)
@@ -112,15 +115,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 names=["doc_id", "gram", "place"])
 
     hits = map_batches(docs, search, "doc_id bigint, gram bigint, place bigint", scan=True)
-    hits = scratch.write(hits.join(grams.select("gram").distinct(), "gram", "left_semi"))
-    spread_over = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
-    seeds = grams.join(spread_over, "gram")
-    quartile = seeds.groupBy("item_id").agg(F.percentile("docs", F.lit(0.25)).alias("usual"))
-    seeds = scratch.write(seeds.join(quartile, "item_id").where(F.col("docs") <= F.lit(RARE_FACTOR) * F.col("usual"))
-                          .select("item_id", "gram", F.col("place").alias("item_place"), "size"))
     # Neighbouring diagonals belong to one alignment; a window reaches half an item beyond them.
-    pairs = hits.join(seeds, "gram").select(
-        "doc_id", "item_id", "size", F.floor((F.col("place") - F.col("item_place")) / F.col("size")).alias("stretch")).distinct()
+    pairs = hits.join(grams, "gram").select(
+        "doc_id", "item_id", "size", F.floor((hits["place"] - grams["place"]) / F.col("size")).alias("stretch")).distinct()
     pairs = scratch.write(pairs.select("doc_id", "item_id", (F.col("stretch") * F.col("size") - F.ceil(F.col("size") / 2)).alias("lo"),
                                        ((F.col("stretch") + 2) * F.col("size") + F.ceil(F.col("size") / 2)).alias("hi")))
     wanted = scratch.write(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "lo", "hi")).alias("wanted")))
@@ -144,24 +141,29 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 names=["doc_id", "item_id", "first", "window"])
 
     def judge(batch):
-        score, low, high = [], [], []
-        for window, words, first in zip(_rows(batch.column("window")), _rows(batch.column("words")), batch.column("first").to_pylist()):
+        kept, score, low, high = [], [], [], []
+        for k, (window, words, first) in enumerate(zip(_rows(batch.column("window")), _rows(batch.column("words")), batch.column("first").to_pylist())):
+            if not can_reach(window, words):
+                continue
             best, end = align(window, words)
             back, start = align(window[:end][::-1], words[::-1])
+            kept.append(k)
             score.append(best / len(words))
             low.append(first + end - start)
             high.append(first + end - 1)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64()),
-                                          pa.array(low, pa.int64()), pa.array(high, pa.int64())],
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(kept, pa.int64())), batch.column("item_id").take(pa.array(kept, pa.int64())),
+                                          pa.array(score, pa.float64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
                                          names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    parts = map_batches(docs.join(wanted, "doc_id"), cut, "doc_id bigint, item_id bigint, first bigint, window array<bigint>")
+    # Very many documents share some phrase with an item: too many to send to every
+    # executor once the corpus is large, so they meet by a shuffle at every size.
+    parts = map_batches(docs.join(wanted.hint("merge"), "doc_id"), cut, "doc_id bigint, item_id bigint, first bigint, window array<bigint>")
     judged = map_batches(parts.join(items, "item_id"), judge,
                          "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint")
     best = F.max(F.struct("score", (-F.col("first_word")).alias("o"), "last_word")).alias("b")
     found = scratch.write(judged.where(F.col("score") >= MIN_SCORE).groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "b.score", (-F.col("b.o")).alias("first_word"), "b.last_word"))
-    scratch.drop(items, grams, hits, seeds, pairs, wanted)
+    scratch.drop(items, grams, pairs, wanted)
     return found
 
 
