@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -177,3 +178,17 @@ def test_licences(spark):
                    ("a/b/COPYING.txt", "Apache-2.0", "Apache-2.0", None), ("z/w.txt", None, None, None), ("top.txt", None, None, None),
                    (None, None, None, None), ("q.txt", None, None, None)}
     assert license_scan.license_scan(df).count() == len(files) and license_scan.license_scan(df.limit(0)).count() == 0
+
+
+def test_licence_texts_of_several_lines(spark):
+    from twinfold.llm.license_texts import TEXTS
+
+    wrapped = lambda name, whole, mark: mark + f"\n{mark}".join(textwrap.wrap(next(t for n, t, w in TEXTS if (n, w) == (name, whole)), 60))
+    code = "\nx = compute(y)\n" * 300
+    files = [("m/any.txt", "Copyright (c) 2020 Someone\n\n" + wrapped("MIT", False, "")), ("m/x.py", "plain"), ("b/any.txt", wrapped("BSD-3-Clause", False, "")),
+             ("b2/any.txt", wrapped("BSD-2-Clause", False, " * ")), ("g/x.py", "#!/bin/sh\n" + wrapped("GPL-3.0", False, "# ") + code), ("g/y.py", "plain"),
+             ("f/any.txt", wrapped("GPL-2.0", True, "   ") + "\n\nPreamble\n" + code), ("f/y.py", "plain"), ("n.txt", "free software and any warranty " * 9)]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.own_license, r.license) for r in license_scan.license_scan(df).collect()}
+    assert got == {"m/any.txt": ("MIT", "MIT"), "m/x.py": (None, "MIT"), "b/any.txt": ("BSD-3-Clause",) * 2, "b2/any.txt": ("BSD-2-Clause",) * 2,
+                   "g/x.py": ("GPL-3.0",) * 2, "g/y.py": (None, None), "f/any.txt": ("GPL-2.0",) * 2, "f/y.py": (None, "GPL-2.0"), "n.txt": (None, None)}

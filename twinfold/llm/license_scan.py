@@ -7,6 +7,10 @@ has count as found nowhere, so longer lines match less. A line that reaches the
 threshold must hold one of the templates' leading terms (prefix filtering: the other
 terms together are too light), so only such lines are taken apart.
 
+Headers and licence texts of several lines (``license_texts``) are compared the same
+way, with a vocabulary of their own, to runs of as many words from the start of each
+line. Only files that hold enough of a text's weight for the threshold are taken apart.
+
 A file in which notices make up much of the text is a licence file and licenses its
 directory. A file without a notice inherits from its nearest ancestor directory that
 has a licence.
@@ -16,14 +20,18 @@ Only DataFrame operations: no Python code runs on the rows.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 MIN_COSINE = 0.7
 FILE_SHARE = 0.1  # of a licence file's words are in its notice, at least
+_LINES = 256  # of a file are taken apart in one row
 
 # Common licence notices, one line each.
 TEMPLATES = [
@@ -67,25 +75,79 @@ def _words(text):
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _literal(spark, schema: str, rows) -> DataFrame:
+    """A small table as one value of the plan."""
+    fields = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(fields, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
+def _terms(terms):
+    return F.split(F.lit(" ".join(terms)), " ")
+
+
+def text_notices(files: DataFrame, spread: dict[str, int], unknown: float) -> DataFrame:
+    """``path, license, line, score, share`` of the runs of words that match a text of ``TEXTS``.
+
+    ``spread`` has the files of each term. ``share`` is 1 for a text that only a
+    licence file holds.
+    """
+    bags = {str(k): _bags([("", text)])[""] for k, (_, text, _) in enumerate(TEXTS)}
+    idf = {t: unknown - math.log(1 + spread.get(t, 0)) for bag in bags.values() for t in bag}
+    rows, leading = weigh(bags, idf)
+    spark = files.sparkSession
+    known = F.broadcast(_literal(spark, "text_id string, term string, weight double", rows))
+    rarity = F.broadcast(_literal(spark, "term string, idf double", sorted(idf.items())))
+    kinds = F.broadcast(_literal(spark, "text_id string, license string, whole boolean, length int",
+                                 [(str(k), name, whole, len(bags[str(k)])) for k, (name, _, whole) in enumerate(TEXTS)]))
+    words = F.split(F.lower("text"), "[^a-z0-9]+")
+    hit = files.where(F.col("path").isNotNull() & F.arrays_overlap(words, _terms(leading)))
+    hit = hit.select("path", F.xxhash64("text").alias("copy"), "text")
+    file = ["path", "copy"]
+    # No run's cosine is more than the root of the squared weights of the terms in its file.
+    held = hit.select(*file, F.explode(F.array_distinct(words)).alias("term")).distinct().join(known, "term")
+    held = held.groupBy(*file, "text_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("most"))
+    held = held.where(F.col("most") >= MIN_COSINE ** 2 - 1e-6).join(kinds, "text_id").drop("most")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("w"))), lambda x: F.size(x["w"]) > 0)
+    whole = hit.dropDuplicates(file).join(held, file).select(
+        *file, "text_id", "license", "whole", "length", F.size(_words("text")).alias("words"), lines.alias("lines"))
+    # A line holds a word at least, so a run ends within as many lines as it has words.
+    parts = whole.select(*file, "text_id", "license", "whole", "length", "words", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("lines"), F.lit(_LINES)), lambda at: F.slice("lines", at, F.lit(_LINES) + F.col("length")))).alias("part"))
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(_LINES), F.size("part"))), lambda i: F.struct(
+        F.get("part", i - 1)["line"].alias("line"),
+        F.slice(F.flatten(F.transform(F.slice("part", i, F.col("length")), lambda x: x["w"])), F.lit(1), F.col("length")).alias("w")))
+    key = [*file, "text_id", "license", "whole", "words", "line"]
+    terms = parts.select(*key[:-1], F.explode(runs).alias("r")).select(*key[:-1], "r.line", F.explode("r.w").alias("term"))
+    terms = terms.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")).join(rarity, "term", "left").join(known, ["text_id", "term"], "left")
+    w = F.col("n") * F.coalesce("idf", F.lit(unknown))
+    cosine = F.sum(w * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(w * w))
+    found = terms.groupBy(*key).agg(F.round(cosine, 6).alias("score"), F.sum("n").alias("own"))
+    return found.where(F.col("score") >= MIN_COSINE).select(
+        "path", "license", "line", "score", F.when(F.col("whole"), 1.0).otherwise(F.round(F.col("own") / F.col("words"), 6)).alias("share"))
+
+
 def notices(files: DataFrame, templates=None) -> DataFrame:
     """``path, license, score, share``: the best notice of each file that has one.
 
-    ``score`` is the cosine, ``share`` the notice line's part of the file's words.
+    ``score`` is the cosine, ``share`` the part of the file's words in the notice, which
+    is a line or, with the templates of this module, a text of several lines.
     Ties go to the first line, then to the first licence by name. Null paths and null
     texts have no notice; texts that repeat a path are one file.
     """
     bags = _bags(TEMPLATES if templates is None else templates)
     vocabulary = sorted({t for bag in bags.values() for t in bag})
     spark, texts = files.sparkSession, files.where(F.col("text").isNotNull())
-    own = F.explode(F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*map(F.lit, vocabulary))))
+    counted = {*vocabulary}
+    if templates is None:
+        counted |= {t for _, text, _ in TEXTS for t in _bags([("", text)])[""]}
+    own = F.explode(F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), _terms(sorted(counted))))
     # One row for each term of a template.
     spread = {r["term"]: r["n"] for r in texts.select(own.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     unknown = math.log(1 + texts.count()) + 1
     idf = {t: unknown - math.log(1 + spread.get(t, 0)) for t in vocabulary}
     rows, leading = weigh(bags, idf)
-    fields = ("license", "term", "weight", "idf")
-    known = spark.range(1).select(F.inline(F.array(*[
-        F.struct(*[F.lit(v).alias(c) for c, v in zip(fields, (*r, idf[r[1]]))]) for r in rows])))
+    known = _literal(spark, "license string, term string, weight double, idf double", [(*r, idf[r[1]]) for r in rows])
     pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(leading) + ")(?![a-z0-9])"
     hit = files.where(F.col("path").isNotNull() & F.col("text").rlike(pattern)).select("path", "text")
     lines = hit.select("path", F.size(_words("text")).alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
@@ -99,6 +161,8 @@ def notices(files: DataFrame, templates=None) -> DataFrame:
         F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, key).select("path", "license", "line", F.round(F.col("dot") / F.col("norm"), 6).alias("score"),
                                           F.round(F.col("own") / F.col("words"), 6).alias("share"))
+    if templates is None:
+        scored = scored.unionByName(text_notices(texts.select("path", "text"), spread, unknown))
     best = F.min_by(F.struct("license", "score", "share"), F.struct(-F.col("score"), "line", "license")).alias("b")
     return scored.where(F.col("score") >= MIN_COSINE).groupBy("path").agg(best).select("path", "b.license", "b.score", "b.share")
 
