@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from brute import lev_sim, record_pairs, same, tfidf_cosine, token_set, words
-from conftest import PEOPLE
+from people_rows import PEOPLE
 from pyspark.sql import functions as F
 
 from twinfold.operators import classifier, composite, edit, fuzzy, lsh, phonetic
