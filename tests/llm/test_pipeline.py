@@ -5,7 +5,7 @@ from hashlib import sha256
 
 import public_tokenizers
 import sentencepiece
-from test_near import bag, components, slow_jaccard
+from near_brute import bag, components, slow_jaccard
 
 import corpus_pipeline
 from twinfold.llm import language_id, quality
