@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, language_id, license_scan, minhash_near, piece_codec, quality, token_counts, token_output, vector_near
+from . import (
+    class_lm, decontaminate, language_id, license_scan, line_dedup, minhash_near, piece_codec, quality, resample, token_counts, token_output,
+    vector_codes, vector_near,
+)
 from .common import table
 
 ORACLE: dict[str, str] = {
     "op2_near_vectors": vector_near.OP2_SQL,
     "op6_license_scan": license_scan.op6_sql(),
+    "op11_importance_resampling": resample.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
 
 
@@ -56,6 +62,18 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language_id.op10_language_id(table(spark, d, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resample.op11_importance_resampling(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.op12_vector_codes(table(spark, d, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.op13_line_dedup(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_vectors": op2_near_vectors,
@@ -67,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_dedup": op13_line_dedup,
 }
