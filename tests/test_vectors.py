@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,6 +9,8 @@ from brute import record_pairs, same
 from pyspark.sql import functions as F
 
 from twinfold.operators import clusters, vectors
+from twinfold.plans import metric as metric_plan
+from twinfold.plans.groups import value_groups
 
 
 def vecs(spark, rows):
@@ -69,6 +73,81 @@ def test_text_vectors(spark):
     assert sorted(r.vec[0] for r in mine.collect()) == [8.0, 8.0, 9.0]
 
 
+def clustered(seed=1, groups=12, each=20, d=3):
+    rng = np.random.default_rng(seed)
+    return (rng.normal(size=(groups, 1, d)) * 20 + rng.normal(size=(groups, each, d)) * 0.3 + 50).reshape(-1, d).tolist()
+
+
+@pytest.mark.parametrize("metric,cutoff", [("euclidean", 1.0), ("manhattan", 1.5), ("chebyshev", 0.8), ("cosine", 1e-4)])
+def test_blocks_that_cannot_matter_are_skipped(spark, metric, cutoff):
+    rows = clustered() + [[0.0] * 3] + [[50.0 + i % 3 * 0.01, 50.0, 50.0] for i in range(60)]  # a zero vector, and a hot cell
+    spark.conf.set("spark.twinfold.vectorBlockRows", "16")
+    try:
+        df = vecs(spark, rows)
+        groups, _ = value_groups(df, ["vec"])
+        placed = metric_plan.place(groups, metric, groups.count())
+        blocks = placed.blocks.count()
+        near = metric_plan.block_pairs(placed, metric_plan.to_working(metric, cutoff)).count()
+        far = metric_plan.block_pairs(placed, reach=placed.far).count()
+        assert near < 0.6 * blocks * (blocks + 1) / 2 and far < 0.6 * blocks * (blocks + 1) / 2
+        assert placed.rows.groupBy("block").count().agg({"count": "max"}).first()[0] <= 40
+        d = {p: brute_distance(rows[p[0]], rows[p[1]], metric) for p in itertools.combinations(range(len(rows)), 2)}
+        got = {(r.rid_l, r.rid_r): r.distance for r in vectors.pair_distance(df, metric, cutoff).collect()}
+        want = {p: x for p, x in d.items() if x <= cutoff}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+        report = vectors.negative_vector_report(df, metric).first()
+        bounds = vectors.vector_bounds(df, metric).first()
+        assert bounds.max_distance == pytest.approx(max(d.values())) and bounds.lowest == pytest.approx(min(d.values()), abs=1e-9)
+        assert report.pairs == len(d)
+    finally:
+        spark.conf.unset("spark.twinfold.vectorBlockRows")
+
+
+def test_bounds_of_few_vectors(spark):
+    for rows, top in (([[3.0, 4.0]], None), ([[0.0, 0.0], [0.0, 0.0]], 1.0), ([[1.0, 0.0], [-1.0, 0.0]], 2.0)):
+        assert vectors.vector_bounds(vecs(spark, rows), "cosine").first().max_distance == top
+    assert vectors.pair_distance(vecs(spark, [[1.0]]).limit(0), "euclidean").count() == 0
+
+
+def brute_terms(texts, numbers, weights):
+    """TF-IDF over the whole vocabulary, then the scaled numbers."""
+    bags = [Counter((t if t is not None else "nan").lower().split()) for t in texts]
+    held = Counter(w for b in bags for w in b)
+    vocabulary = sorted(held)
+    rows = [[weights[0] * b[w] * math.log((len(texts) + 1) / (held[w] + 1)) for w in vocabulary] for b in bags]
+    for k, x in enumerate(numbers):
+        x = np.array([0.0 if v is None else v for v in x])
+        z = (x - x.mean()) / (x.std() or 1.0) * weights[1 + k]
+        rows = [r + [v] for r, v in zip(rows, z.tolist())]
+    return rows
+
+
+@pytest.mark.parametrize("numbers", [0, 1, 2])
+@pytest.mark.parametrize("least", [None, 30, 75, 97])
+def test_texts_are_compared_by_all_their_words(spark, small_blocks, numbers, least):
+    rng = random.Random(numbers)
+    words = [f"w{i}" for i in range(40)] + ["the"] * 30
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(50)]
+    texts += [t + " more" for t in texts[:12]] + texts[:4] + ["", "", None, "the", "the the", "UPPER upper"]
+    columns = [[rng.choice([None, 1.0, 2.0, 30.0]) if k else float(len(t or "")) for t in texts] for k in range(numbers)]
+    df = spark.createDataFrame([(i, t, *[c[i] for c in columns]) for i, t in enumerate(texts)],
+                               "rid bigint, t string" + "".join(f", x{k} double" for k in range(numbers)))
+    weights = {"t": 2.0, "x0": 0.5}
+    rows = brute_terms(texts, columns, [2.0, 0.5, 1.0])
+    d = {p: max(brute_distance(rows[p[0]], rows[p[1]], "cosine"), 0.0) for p in itertools.combinations(range(len(rows)), 2)}
+    top = max(d.values())
+    want = {p: (1 - x / top) * 100 for p, x in d.items()}
+    found = vectors.embedding_pairs(df, ["t"], [f"x{k}" for k in range(numbers)], weights, min_similarity=least)
+    same(record_pairs(found), {p: s for p, s in want.items() if least is None or s >= least})
+
+
+def test_dense_text_vectors_ask_for_places(spark):
+    df = spark.createDataFrame([(0, "a b")], "rid bigint, t string")
+    for make in (lambda: vectors.record_vectors(df, ["t"]), lambda: vectors.embedding_pairs(df, ["t"], metric="manhattan")):
+        with pytest.raises(ValueError):
+            make()
+
+
 def brute_components(n, edges):
     root = list(range(n))
     def up(i):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,22 +19,56 @@ def token_set(text) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda t: t != "")))
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence by bit-parallel rows (Hyyrö 2004)."""
-    where: dict = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+_PAIRS = 4096  # aligned at once
+
+
+def lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of texts.
+
+    Bit-parallel rows (Hyyrö 2004): a bit for each character of the shorter text, one
+    step for each character of the longer one, for many pairs of like length at once.
+    """
+    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.zeros(len(n_a), np.int64)
+    short, long = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    order = np.lexsort((long, (short + 63) // 64))
+    order = order[short[order] > 0]
+    for at in range(0, len(order), _PAIRS):
+        part = order[at: at + _PAIRS]
+        swap = n_a[part] > n_b[part]
+        x = _characters([b[k] if s else a[k] for k, s in zip(part.tolist(), swap.tolist())], -(-int(short[part].max()) // 64) * 64, 0)
+        y = _characters([a[k] if s else b[k] for k, s in zip(part.tolist(), swap.tolist())], int(long[part].max()), 1)
+        out[part] = _rows(x, y)
+    return out
+
+
+def _characters(texts: list[str], width: int, other: int) -> np.ndarray:
+    """Code points of each text in a row, filled up with numbers that no character has."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), width), 0x110000 + other, np.uint32)
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    words = x.shape[1] // 64
+    row = np.full((len(x), words), ~np.uint64(0))
+    for j in range(y.shape[1]):
+        match = np.packbits(x == y[:, j, None], axis=1, bitorder="little").view("<u8")
+        hit = row & match
+        total, carry = np.empty_like(row), np.zeros(len(x), np.uint64)
+        for w in range(words):  # one long number: sums carry from word to word
+            part = row[:, w] + hit[:, w]
+            total[:, w] = part + carry
+            carry = ((part < row[:, w]) | (total[:, w] < part)).astype(np.uint64)
+        row = total | (row - hit)
+    # Bits beyond a text are never matched and stay set; each cleared bit is a character in common.
+    return words * 64 - np.bitwise_count(row).sum(axis=1).astype(np.int64)
 
 
 @F.pandas_udf(T.IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(lcs_lengths(a.tolist(), b.tolist()), dtype="int32")
 
 
 def set_parts(a, b) -> tuple[Column, Column, Column]:

@@ -12,18 +12,22 @@ from pyspark.sql import types as T
 
 from ..functions.scores import clip_nonneg, words
 from ..plans.groups import PairTable, value_groups
-from ..plans.tiles import METRICS, tile_bounds, tile_pairs
+from ..plans.metric import Placed, bounds, near_pairs, place
+from ..plans.sparse import cosine_pairs, least_cosine, sparse_vectors
+from ..plans.tiles import METRICS
 from ..sources.records import as_text, validate
 
 
 def text_vectors(
-    df: DataFrame, cols: Sequence[str], encoder: str | Callable[[Column], Column] = "tfidf", dims: int = 256
+    df: DataFrame, cols: Sequence[str], encoder: str | Callable[[Column], Column] = "tfidf", dims: int | None = None
 ) -> DataFrame:
     """``df`` with one vector column ``vec_<col>`` per text column.
 
-    An array column is taken as it is. Texts go through ``encoder``: ``"tfidf"``
-    (hashed term counts times inverse document frequency) or a function from a
-    text column to an array column, such as a ``pandas_udf`` around a model.
+    An array column is taken as it is. Texts go through ``encoder``: a function from a
+    text column to an array column, such as a ``pandas_udf`` around a model, or
+    ``"tfidf"``: term counts times inverse document frequency, folded into ``dims``
+    places, which words share. :func:`embedding_pairs` compares texts by all their
+    words and needs no such places.
     """
     for c in cols:
         if isinstance(df.schema[c].dataType, T.ArrayType):
@@ -31,6 +35,8 @@ def text_vectors(
         elif callable(encoder):
             df = df.withColumn(f"vec_{c}", encoder(as_text(c)).cast("array<double>"))
         elif encoder == "tfidf":
+            if dims is None:
+                raise ValueError("a dense vector of a text needs a number of places (dims) or an encoder")
             counted = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dims).transform(
                 df.withColumn("_w", words(as_text(c)))
             )
@@ -81,7 +87,7 @@ def combine_vectors(df: DataFrame, blocks: dict[str, float], numerics: Sequence[
 
 def record_vectors(
     df: DataFrame, vec_cols: Sequence[str] = (), numeric_cols: Sequence[str] = (),
-    weights: dict[str, float] | None = None, encoder="tfidf", dims: int = 256,
+    weights: dict[str, float] | None = None, encoder="tfidf", dims: int | None = None,
 ) -> DataFrame:
     """``rid, vec``: the combined vector of each record."""
     if not list(vec_cols) and not list(numeric_cols):
@@ -110,7 +116,7 @@ def pair_distance(vectors: DataFrame, metric: str = "cosine", max_distance: floa
     """``rid_l, rid_r, distance`` of all pairs up to ``max_distance``."""
     _check(metric)
     rows = vectors.select(F.col("rid").alias("gid"), F.lit(1).cast("bigint").alias("n"), "vec")
-    found = tile_pairs(rows, metric, rows.count(), max_distance)
+    found = near_pairs(place(rows, metric, rows.count()), max_distance)
     return found.select(F.col("gid_l").alias("rid_l"), F.col("gid_r").alias("rid_r"), "distance")
 
 
@@ -124,25 +130,36 @@ def distance_bounds(distances: DataFrame) -> DataFrame:
     )
 
 
-def vector_bounds(vectors: DataFrame, metric: str = "cosine", groups: DataFrame | None = None) -> DataFrame:
+def vector_bounds(
+    vectors: DataFrame, metric: str = "cosine", groups: DataFrame | None = None, placed: Placed | None = None
+) -> DataFrame:
     """The bounds of :func:`distance_bounds` without writing out any pair.
 
-    ``negative`` counts the distances below zero. ``groups`` are the vectors'
-    :func:`value_groups` where they are at hand.
+    ``negative`` counts the pairs of records with a distance below zero, ``lowest``
+    is the least distance of two records. ``groups`` are the vectors'
+    :func:`value_groups` where they are at hand, ``placed`` their blocks.
     """
     _check(metric)
     if groups is None:
         groups, _ = value_groups(vectors.select("rid", "vec"), ["vec"])
-    size = groups.count()
-    inside = groups.where("n > 1").agg(F.max(own_distance(metric)).alias("inside"))
-    tiles = tile_bounds(groups, metric, size)
-    both = tiles.withColumn("k", F.lit(1)).join(inside.withColumn("k", F.lit(1)), "k")
+    placed = placed or place(groups, metric, groups.count())
+    same = groups.where("n > 1").agg(F.max(own_distance(metric)).alias("inside"), F.min(own_distance(metric)).alias("within"))
+    both = bounds(placed).withColumn("k", F.lit(1)).join(same.withColumn("k", F.lit(1)), "k")
     return both.select(
         F.least("low", F.lit(0.0)).alias("min_distance"),
         F.greatest("high", "inside").alias("max_distance"), F.coalesce("negative", F.lit(0)).alias("negative"),
+        F.least("low", "within").alias("lowest"),
     )
 
 
+def negative_vector_report(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+    """:func:`negative_distance_report` over all pairs of records, without writing out any."""
+    records = vectors.agg(F.count(F.lit(1)).alias("records")).withColumn("k", F.lit(1))
+    found = vector_bounds(vectors, metric).withColumn("k", F.lit(1)).join(records, "k")
+    pairs = (F.col("records") * (F.col("records") - 1) / 2).cast("bigint")
+    return found.select(pairs.alias("pairs"), "lowest", "negative", (F.col("negative") > 0).alias("any_negative"))
+
+
 def negative_distances(distances: DataFrame) -> DataFrame:
     """The pairs with a distance below zero (rounding can cause them)."""
     return distances.where("distance < 0")
@@ -159,21 +176,28 @@ def negative_distance_report(distances: DataFrame) -> DataFrame:
 def embedding_pairs(
     df: DataFrame, vec_cols: Sequence[str] = (), numeric_cols: Sequence[str] = (),
     weights: dict[str, float] | None = None, metric: str = "cosine", min_similarity: float | None = None,
-    max_distance: float | str = "global", encoder="tfidf", dims: int = 256, bdv: str | None = None,
+    max_distance: float | str = "global", encoder="tfidf", dims: int | None = None, bdv: str | None = None,
 ) -> PairTable:
     """Similarity ``(1 - d / max_d) * 100`` of combined vectors.
 
-    ``max_d`` is the largest distance among the records, found in a pass over
-    tiles that returns one row each, or a given number. Pairs below
-    ``min_similarity`` are dropped inside the tiles.
+    ``max_d`` is the largest distance among the records, or a given number. Blocks of
+    vectors that cannot hold the farthest pair, or one at ``min_similarity``, are not
+    compared (``plans/metric.py``). Texts are TF-IDF vectors over their whole
+    vocabulary, joined as such (``plans/sparse.py``), unless ``encoder`` or ``dims``
+    makes dense vectors of them; that join knows cosine, texts and numbers.
     """
     validate(df, bdv, [*vec_cols, *numeric_cols])
     _check(metric)
+    texts = [c for c in vec_cols if not isinstance(df.schema[c].dataType, T.ArrayType)]
+    if texts and encoder == "tfidf" and dims is None:
+        if metric != "cosine" or len(texts) < len(vec_cols):
+            raise ValueError("texts are compared by cosine and without array columns; give dims or an encoder for dense vectors")
+        return _term_pairs(df, texts, numeric_cols, weights or {}, min_similarity, max_distance)
     vectors = record_vectors(df, vec_cols, numeric_cols, weights, encoder, dims)
     groups, members = value_groups(vectors, ["vec"])
-    size = groups.count()
+    placed = place(groups, metric, groups.count())
     if max_distance == "global":
-        row = vector_bounds(vectors, metric, groups).first()
+        row = vector_bounds(vectors, metric, groups, placed).first()
         top = max(row["max_distance"] or 0.0, 0.0) if row else 0.0
     else:
         top = float(max_distance)
@@ -183,12 +207,38 @@ def embedding_pairs(
         F.col("gid").alias("gid_l"), F.col("gid").alias("gid_r"), own_distance(metric).alias("distance"),
         (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n_pairs"),
     )
-    found = tile_pairs(groups, metric, size, cutoff).withColumn("n_pairs", F.col("n_l") * F.col("n_r"))
+    found = near_pairs(placed, cutoff).withColumn("n_pairs", F.col("n_l") * F.col("n_r"))
     scored = lambda rows: rows.select("gid_l", "gid_r", "n_pairs", similarity.alias("similarity"))
     table = PairTable(scored(found), members, scored(inside), {"vectors": vectors})
     return table if min_similarity is None else table.at_least(min_similarity)
 
 
+def _term_pairs(df, texts, numeric_cols, weights, min_similarity, max_distance) -> PairTable:
+    """:func:`embedding_pairs` by cosine over all words of the texts, and numbers."""
+    rows = scaled_numerics(df, numeric_cols, weights) if numeric_cols else df
+    numbers = [f"scaled_{c}" for c in numeric_cols]
+    keyed = rows.select("rid", *[as_text(c).alias(c) for c in texts], *numbers)
+    groups, members = value_groups(keyed, [*texts, *numbers])
+    size, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    vectors = sparse_vectors(groups, {c: float(weights.get(c, 1.0)) for c in texts}, numbers, total)
+    own = F.when(F.exists("w", lambda x: x != 0), F.lit(0.0)).otherwise(F.lit(1.0))
+    inside = vectors.where("n > 1").select("gid", "n", own.alias("distance"))
+    if max_distance == "global":
+        lowest = least_cosine(vectors, size, several=len(numbers) > 1)
+        within = inside.agg(F.max("distance")).first()[0]
+        top = max(0.0, within or 0.0, 0.0 if lowest is None else 1.0 - lowest)
+    else:
+        top = float(max_distance)
+    similarity = F.lit(100.0) if top == 0 else (F.lit(1.0) - clip_nonneg("distance") / F.lit(top)) * 100
+    least = -2.0 if min_similarity is None else 1.0 - (1 - min_similarity / 100) * top - 1e-12
+    found = cosine_pairs(vectors, least, size).withColumn("distance", F.lit(1.0) - F.col("dot"))
+    across = found.select("gid_l", "gid_r", (F.col("n_l") * F.col("n_r")).alias("n_pairs"), similarity.alias("similarity"))
+    copies = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n_pairs")
+    inside = inside.select(F.col("gid").alias("gid_l"), F.col("gid").alias("gid_r"), copies, similarity.alias("similarity"))
+    table = PairTable(across, members, inside, {"vectors": vectors})
+    return table if min_similarity is None else table.at_least(min_similarity)
+
+
 def ann_pairs(
     vectors: DataFrame, metric: str = "euclidean", max_distance: float = 0.5,
     bucket_length: float | None = None, tables: int = 4, seed: int = 42,

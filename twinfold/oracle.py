@@ -329,15 +329,33 @@ ORACLE["embedding_customer"] = f"""
     )
     SELECT gid_l, gid_r, n_pairs, round(s, 6) AS similarity FROM p WHERE s >= 99.5"""
 
+# TF-IDF over the whole vocabulary and one number: all pairs, shared words by a join.
+ORACLE["embedding_documents"] = r"""
+    WITH m AS (SELECT count(*) AS m, avg(n_chars) AS mean, stddev_pop(n_chars) AS std FROM documents),
+    g AS (SELECT text, min(doc_id)::BIGINT AS gid, count(*)::BIGINT AS n, any_value((n_chars - mean) / CASE WHEN std > 0 THEN std ELSE 1 END) AS z
+          FROM documents, m GROUP BY text, n_chars),
+    t AS (SELECT gid, n, term, count(*) AS tf FROM (SELECT gid, n, unnest(string_split_regex(lower(text), '\s+')) AS term FROM g) WHERE term <> '' GROUP BY ALL),
+    f AS (SELECT term, sum(n) AS f FROM t GROUP BY term),
+    v AS (SELECT gid, term, tf * ln((m + 1)::DOUBLE / (f + 1)) AS w FROM t JOIN f USING (term), m),
+    l AS (SELECT g.gid, g.n, g.z, sqrt(g.z * g.z + coalesce((SELECT sum(w * w) FROM v WHERE v.gid = g.gid), 0)) AS norm FROM g),
+    d AS (SELECT a.gid AS x, b.gid AS y, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.term = b.term AND a.gid < b.gid GROUP BY 1, 2),
+    p AS MATERIALIZED (
+      SELECT a.gid AS gid_l, b.gid AS gid_r, a.n * b.n AS n_pairs,
+             greatest(1 - CASE WHEN a.norm > 0 AND b.norm > 0 THEN (coalesce(s, 0) + a.z * b.z) / (a.norm * b.norm) ELSE 0 END, 0) AS x
+      FROM l a JOIN l b ON a.gid < b.gid LEFT JOIN d ON d.x = a.gid AND d.y = b.gid
+      UNION ALL SELECT gid, gid, (n * (n - 1) // 2)::BIGINT, CASE WHEN norm > 0 THEN 0.0 ELSE 1.0 END FROM l WHERE n > 1),
+    q AS (SELECT *, (1 - x / (SELECT max(x) FROM p)) * 100 AS s FROM p)
+    SELECT gid_l, gid_r, n_pairs::BIGINT AS n_pairs, round(s, 6) AS similarity FROM q WHERE s >= 95.0"""
+
 ORACLE["distance_bounds_embeddings"] = f"""
     WITH {_VECTORS}
     SELECT round(least(min({_DISTANCE['manhattan']}), 0.0), 6) AS min_distance, round(max({_DISTANCE['manhattan']}), 6) AS max_distance
     FROM e a JOIN e b ON a.vec_id < b.vec_id"""
 
 ORACLE["negative_distances"] = f"""
-    WITH {_VECTORS}, d AS (SELECT {_DISTANCE['euclidean']} AS x FROM e a JOIN e b ON a.vec_id < b.vec_id)
+    WITH {_VECTORS}, d AS (SELECT {_DISTANCE['cosine']} AS x FROM e a JOIN e b ON a.vec_id < b.vec_id)
     SELECT count(*)::BIGINT AS pairs, round(min(x), 6) AS lowest, count(*) FILTER (x < 0) AS negative, coalesce(bool_or(x < 0), false) AS any_negative
-    FROM d WHERE x <= 1.3"""
+    FROM d"""
 
 ORACLE["pair_distance_embeddings"] = f"""
     WITH {_VECTORS}

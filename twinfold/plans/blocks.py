@@ -157,3 +157,31 @@ def _with_blocks(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFr
 
 def _block(id_col: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.col("_b")).cast("int")
+
+
+HOT_KEYS = 65_536  # rows of a broadcast table of hot keys, at most
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of ``totals``, which has one row per key, by equal keys (null equals null).
+
+    ``size`` names the column of ``totals`` that says how many rows a key has. Keys
+    with more than 1/HOT_KEYS of these rows are HOT_KEYS at most, whatever the data:
+    they are broadcast, so that a hot key stays where its rows are. The others meet by
+    a shuffle, in which no key has more than that share. Both tables should be
+    written ones, as they are read twice.
+    """
+    whole = totals.agg(F.sum(size)).first()[0] or 0
+    limit = max(1, whole // HOT_KEYS)
+    hot = totals.where(F.col(size) > limit)
+
+    def meet(left, right, how):
+        right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+        out = left.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
+        return out if how == "left_anti" else out.drop(*[f"_{k}" for k in keys])
+
+    if not hot.take(1):
+        return meet(rows, totals, "inner")
+    cold = meet(rows, F.broadcast(hot.select(*keys)), "left_anti")
+    rest = meet(cold, totals.where(F.col(size) <= limit), "inner")
+    return meet(rows, F.broadcast(hot), "inner").unionByName(rest)

@@ -1,4 +1,4 @@
-"""Exact candidate joins for texts: shared q-grams, or few deletions.
+"""Exact candidate joins for texts by shared q-grams.
 
 Two texts within an edit bound share at least ``need`` of their padded q-grams,
 counted with repeats. With all grams in one global order, a pair that shares
@@ -49,40 +49,6 @@ def word_bigrams(tokens: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2))
 
 
-def deletion_pairs(values: DataFrame, id_col: str, text: str, depth: Column, keep: Callable[[], Column], carry=()) -> DataFrame:
-    """Pairs of rows whose texts become equal by few deletions, filtered by ``keep``.
-
-    Texts within ``d`` edits of each other turn into one common text when each
-    loses at most ``d`` characters. ``depth`` (0 to 2) is the largest ``d`` a row
-    can need. Each row is keyed by what is left of it, so two rows meet only if
-    they are close, however common their parts are; a bucket holds nothing but
-    texts within two inserted characters of its key.
-    """
-    whole = F.col(text)
-    n = F.length(whole)
-
-    def without(i):  # the text without its i-th character, counted from 1
-        return F.concat(F.substring(whole, F.lit(1), i - 1), F.substring(whole, i + 1, n))
-
-    def without_two(i, j):  # i < j
-        return F.concat(
-            F.substring(whole, F.lit(1), i - 1), F.substring(whole, i + 1, j - i - 1), F.substring(whole, j + 1, n)
-        )
-
-    none = F.array().cast("array<bigint>")
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    once = F.transform(places, lambda i: F.xxhash64(without(i)))
-    twice = F.flatten(F.transform(places, lambda i: F.transform(
-        F.slice(places, i + 1, n), lambda j: F.xxhash64(without_two(i, j))
-    )))
-    keys = F.array_distinct(F.concat(
-        F.array(F.xxhash64(whole)),
-        F.when(depth >= 1, once).otherwise(none), F.when(depth >= 2, twice).otherwise(none),
-    ))
-    keyed = spread(values).select(F.explode(keys).alias("_tok"), id_col, *carry)
-    return direct_pairs(keyed, ["_tok"], id_col, keep).drop("_tok")
-
-
 def gram_pairs(
     values: DataFrame, id_col: str, grams: Column, need: Column, keep: Callable[[], Column], carry=()
 ) -> DataFrame:

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from ..functions.scores import lev_sim, weighted_mean
 from ..functions.tokens import set_parts, set_ratio, set_ratio_bound
 from .blocks import probe_pairs, self_pairs
-from .grams import deletion_pairs, gram_pairs, gram_size, qgrams, word_bigrams
+from .grams import gram_pairs, gram_size, qgrams, word_bigrams
 from .groups import all_pairs
+from .segments import segment_pairs
 from .settings import cut_lineage
 
 EPS = 1e-9
+MAX_EDITS = 4  # between texts that are joined by segments
 
 
 def column_bound(weight: float, total: float, t: float) -> float:
@@ -67,15 +69,13 @@ def edit_neighbours(
     else:
         rest = ["v", *carry[1:]] if carry else []
         # Pairs split by the longer length: up to ``short`` characters few edits
-        # are allowed and deletions find them, beyond it bigrams do. A text that
+        # are allowed and equal segments find them, beyond it grams do. A text that
         # can be in either kind of pair goes both ways.
         short = 0 if q else _short_length(t)
         near = v.where(F.length("v") <= short)
-        longest = F.least(F.lit(short), F.floor(F.length("v") / F.lit(t) + EPS))
-        depth = F.floor(F.lit(1.0 - t) * longest + EPS)
         few = lambda: (longer <= short) & close()
         many = lambda: (longer > short) & close()
-        parts = [] if q else [deletion_pairs(near, own[0], "v", depth, few, carry=rest).select(*ends, sim)]
+        parts = [] if q else [segment_pairs(near, own[0], t, short, few, carry=rest).select(*ends, sim)]
         if q or v.where(F.length("v") > short).take(1):
             far = v.where(F.length("v") / F.lit(t) + EPS > short)
             # d edits leave max_len + q - 1 - q d shared grams, and d <= (1 - t) max_len.
@@ -88,8 +88,8 @@ def edit_neighbours(
 
 
 def _short_length(t: float) -> int:
-    """Longest text for which a match has at most two edits, up to 40 characters."""
-    return max([n for n in range(1, 41) if int((1 - t) * n + EPS) <= 2], default=0)
+    """Longest text for which a match has few edits: a text then has some dozens of segments to look up."""
+    return max([n for n in range(1, 100) if int((1 - t) * n + EPS) <= MAX_EDITS], default=0)
 
 
 def set_neighbours(values: DataFrame, col: str, t: float, size: int) -> DataFrame:

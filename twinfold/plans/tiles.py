@@ -1,25 +1,26 @@
-"""Vector distances between blocks of rows, one pair of blocks per task."""
+"""Vector distances between blocks of rows, one pair of blocks per group.
+
+Which pairs of blocks there are is up to ``metric``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .settings import VECTOR_BLOCK_ROWS, conf_int, shuffle_width
 
 METRICS = ("cosine", "euclidean", "manhattan", "chebyshev")
 _STRIP = 64  # left rows handled at once inside a tile; bounds its memory
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def matrix(table: pa.Table) -> np.ndarray:
     vec = table.column("vec").combine_chunks()
     flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(vec), -1)
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norm == 0, 1.0, norm)
 
@@ -41,14 +42,19 @@ def strip_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def _strips(table: pa.Table, metric: str):
-    """``(row numbers, row numbers, distances)`` over the pairs of one tile, each once."""
-    m = _matrix(table)
+def strips(table: pa.Table, metric: str, keep: Callable) -> Iterator[tuple]:
+    """``(matrix, row numbers, row numbers, distances, valid)`` over the pairs of one tile, each once.
+
+    ``keep`` drops rows of one block that no pair with the other block needs."""
+    m = matrix(table)
     if metric == "cosine":
-        m = _unit(m)
+        m = unit(m)
     own = table.column("_own").to_numpy()
     first, second = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
     rows, cols = np.flatnonzero(own == first), np.flatnonzero(own == second)
+    if first != second:
+        rows = keep(table, m, rows, cols)
+        cols = keep(table, m, cols, rows)
     for at in range(0, len(rows), _STRIP):
         part = rows[at: at + _STRIP]
         if first == second:
@@ -59,108 +65,77 @@ def _strips(table: pa.Table, metric: str):
             yield m, part, cols, strip_distances(m[part], m[cols], metric), None
 
 
-def _tiled(groups: DataFrame, size: int) -> DataFrame:
-    spark = groups.sparkSession
-    limit = conf_int(spark, "vectorBlockRows", VECTOR_BLOCK_ROWS)
-    width = shuffle_width(spark)
-    parts = max(-(-size // limit), min(int((2 * width) ** 0.5), -(-size // 64)), 1)
-    own = F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int")
-    rows = groups.select("gid", "n", F.col("vec").cast("array<double>").alias("vec"), own.alias("_own"))
-    rows = rows.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rows = rows.withColumn("_i", F.least("_own", "_to")).withColumn("_j", F.greatest("_own", "_to")).drop("_to")
-    # A set width keeps heavy tiles apart: by bytes alone they would be merged.
-    return rows.repartition(min(parts * (parts + 1) // 2, 4 * width), "_i", "_j").groupBy("_i", "_j")
-
-
-def tile_bounds(groups: DataFrame, metric: str, size: int) -> DataFrame:
-    """One row: number of pairs, least and largest distance, negative distances."""
-    def bounds(table: pa.Table) -> pa.Table:
-        low, high, negative, count = [], [], 0, 0
-        for _, _, _, d, valid in _strips(table, metric):
-            d = d[valid] if valid is not None else d.ravel()
-            if len(d):
-                low.append(d.min())
-                high.append(d.max())
-                negative += int((d < 0).sum())
-                count += len(d)
-        return pa.table({
-            "low": pa.array([min(low) if low else None], pa.float64()),
-            "high": pa.array([max(high) if high else None], pa.float64()),
-            "negative": pa.array([negative], pa.int64()), "count": pa.array([count], pa.int64()),
-        })
-
-    per_tile = _tiled(groups, size).applyInArrow(bounds, "low double, high double, negative bigint, count bigint")
-    return per_tile.agg(
-        F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.sum("negative").alias("negative"),
-    )
-
-
-def tile_pairs(groups: DataFrame, metric: str, size: int, cutoff: float = float("inf")) -> DataFrame:
-    """``gid_l, gid_r, n_l, n_r, distance`` of pairs with a distance up to ``cutoff``."""
+def bounds_of(table: pa.Table, metric: str, keep: Callable) -> pa.Table:
+    """One row: least and largest distance of the tile, and how many pairs of records lie below zero."""
+    low, high, negative, n = [], [], 0, table.column("n").to_numpy()
+    for _, part, ends, d, valid in strips(table, metric, keep):
+        seen = d[valid] if valid is not None else d.ravel()
+        if len(seen):
+            low.append(seen.min())
+            high.append(seen.max())
+            if low[-1] < 0:
+                a, b = np.nonzero((d < 0) & (True if valid is None else valid))
+                negative += int((n[part[a]] * n[ends[b]]).sum())
+    return pa.table({
+        "low": pa.array([min(low) if low else None], pa.float64()),
+        "high": pa.array([max(high) if high else None], pa.float64()), "negative": pa.array([negative], pa.int64()),
+    })
+
+
+def pairs_of(table: pa.Table, metric: str, keep: Callable, cutoff: float) -> pa.Table:
+    """``gid_l, gid_r, n_l, n_r, distance`` of the tile's pairs up to about ``cutoff``."""
     slack = cutoff * (1 + 1e-9) + 1e-7
-
-    def pairs(table: pa.Table) -> pa.Table:
-        gid, n = table.column("gid").to_numpy(), table.column("n").to_numpy()
-        out = [[], [], [], [], []]
-        for m, part, ends, d, valid in _strips(table, metric):
-            hit = d <= slack
-            if valid is not None:
-                hit &= valid
-            at, to = np.nonzero(hit)
-            dist = d[at, to]
-            a, b = part[at], ends[to]
-            if metric == "euclidean":  # the fast form loses digits on close rows
-                dist = np.sqrt(((m[a] - m[b]) ** 2).sum(axis=1))
-            swap = gid[a] > gid[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            for col, x in zip(out, (gid[a], gid[b], n[a], n[b], dist)):
-                col.append(x)
-        cols = [np.concatenate(c) if c else np.array([]) for c in out]
-        return pa.table({
-            "gid_l": pa.array(cols[0], pa.int64()), "gid_r": pa.array(cols[1], pa.int64()),
-            "n_l": pa.array(cols[2], pa.int64()), "n_r": pa.array(cols[3], pa.int64()),
-            "distance": pa.array(cols[4], pa.float64()),
-        })
-
-    schema = "gid_l bigint, gid_r bigint, n_l bigint, n_r bigint, distance double"
-    return _tiled(groups, size).applyInArrow(pairs, schema).where(F.col("distance") <= F.lit(float(cutoff)))
-
-
-def tile_links(groups: DataFrame, metric: str, size: int, eps: float) -> DataFrame:
-    """``u, v``: a spanning forest, per tile, of the rows within ``eps``.
+    gid, n = table.column("gid").to_numpy(), table.column("n").to_numpy()
+    out = [[], [], [], [], []]
+    for m, part, ends, d, valid in strips(table, metric, keep):
+        hit = d <= slack
+        if valid is not None:
+            hit &= valid
+        at, to = np.nonzero(hit)
+        dist = d[at, to]
+        a, b = part[at], ends[to]
+        if metric == "euclidean":  # the fast form loses digits on close rows
+            dist = np.sqrt(((m[a] - m[b]) ** 2).sum(axis=1))
+        swap = gid[a] > gid[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        for col, x in zip(out, (gid[a], gid[b], n[a], n[b], dist)):
+            col.append(x)
+    cols = [np.concatenate(c) if c else np.array([]) for c in out]
+    kinds = (pa.int64(),) * 4 + (pa.float64(),)
+    return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("gid_l", "gid_r", "n_l", "n_r", "distance"), cols, kinds)})
+
+
+def links_of(table: pa.Table, metric: str, keep: Callable, eps: float) -> pa.Table:
+    """``u, v``: a spanning forest of the tile's rows within ``eps``.
 
     A dense cluster has a quadratic number of close pairs, but one tile reports
     fewer links than it has rows. Joined up, the forests connect exactly the rows
     the close pairs connect.
     """
-    def links(table: pa.Table) -> pa.Table:
-        gid = table.column("gid").to_numpy()
-        parent = np.arange(len(gid))
-        u, v = [], []
-        for m, part, ends, d, valid in _strips(table, metric):
-            if metric == "euclidean":
-                near = (d - eps) < 1e-7
-                a, b = np.nonzero(near & ((d - eps) > -1e-7))
-                if len(a):
-                    near[a, b] = np.sqrt(((m[part[a]] - m[ends[b]]) ** 2).sum(axis=1)) <= eps
-            else:
-                near = np.maximum(d, 0.0) <= eps
-            if valid is not None:
-                near &= valid
-            for i, row in zip(part, near):
-                close = ends[row]
-                if not len(close):
-                    continue
-                roots = np.unique(_roots(parent, close))
-                top = _roots(parent, np.array([i]))[0]
-                for other in roots[roots != top]:
-                    u.append(gid[top])
-                    v.append(gid[other])
-                    parent[other] = top
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return _tiled(groups, size).applyInArrow(links, "u bigint, v bigint")
+    gid = table.column("gid").to_numpy()
+    parent = np.arange(len(gid))
+    u, v = [], []
+    for m, part, ends, d, valid in strips(table, metric, keep):
+        if metric == "euclidean":
+            near = (d - eps) < 1e-7
+            a, b = np.nonzero(near & ((d - eps) > -1e-7))
+            if len(a):
+                near[a, b] = np.sqrt(((m[part[a]] - m[ends[b]]) ** 2).sum(axis=1)) <= eps
+        else:
+            near = np.maximum(d, 0.0) <= eps
+        if valid is not None:
+            near &= valid
+        for i, row in zip(part, near):
+            close = ends[row]
+            if not len(close):
+                continue
+            roots = np.unique(_roots(parent, close))
+            top = _roots(parent, np.array([i]))[0]
+            for other in roots[roots != top]:
+                u.append(gid[top])
+                v.append(gid[other])
+                parent[other] = top
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:

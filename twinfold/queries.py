@@ -178,7 +178,7 @@ def distance_bounds_embeddings(spark, d):
 
 def negative_distances(spark, d):
     rows = table(spark, d, "embeddings").select("rid", F.col("embedding").alias("vec"))
-    found = vectors.negative_distance_report(vectors.pair_distance(rows, "euclidean", 1.3))
+    found = vectors.negative_vector_report(rows, "cosine")
     return found.withColumn("lowest", F.round("lowest", 6))
 
 
