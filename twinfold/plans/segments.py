@@ -19,8 +19,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import hot_keys, probe_pairs
-from .settings import block_rows, spread
+from .blocks import probe_pairs
+from .settings import block_rows, cut_lineage, shuffle_width, spread
 
 EPS = 1e-9
 _FEW = 2  # edits up to which deletions are written out
@@ -78,13 +78,12 @@ def left_over(text: Column, depth: Column) -> Column:
         F.array(F.xxhash64(text)), F.when(depth >= 1, once).otherwise(none), F.when(depth >= 2, twice).otherwise(none)))
 
 
-def _refined(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows of common segments under the segment and what deletions leave on either side of it."""
+def _keys(hot: Column) -> Column:
+    """The key of a segment, or, where it is common, keys of it and what deletions leave on either side."""
     before = left_over(F.substring(F.col("v"), F.lit(1), F.col("at")), F.col("i"))
     after = left_over(F.substring(F.col("v"), F.col("at") + F.col("size") + 1, F.length("v")), F.col("k") - F.col("i"))
-    rows = rows.select(*names, "key", before.alias("_a"), after.alias("_b"))
-    keys = F.flatten(F.transform("_a", lambda a: F.transform("_b", lambda b: F.xxhash64("key", a, b))))
-    return rows.select(*names, F.explode(F.array_distinct(keys)).alias("key"))
+    both = F.flatten(F.transform(before, lambda a: F.transform(after, lambda b: F.xxhash64("key", a, b))))
+    return F.when(hot, F.array_distinct(both)).otherwise(F.array("key"))
 
 
 def segment_pairs(values: DataFrame, id_col: str, t: float, longest: int, keep: Callable[[], Column], carry: Sequence[str] = ()) -> DataFrame:
@@ -96,26 +95,32 @@ def segment_pairs(values: DataFrame, id_col: str, t: float, longest: int, keep:
     """
     names = [id_col, *carry]
     rows = spread(values, id_col).select(*names)
-    entries = lambda e: rows.select(*names, F.inline(F.array_distinct(e)))
-    index, probes = entries(index_entries(t, longest)), entries(probe_entries(t))
+    both = F.array(F.struct(F.lit(True).alias("asks"), probe_entries(t).alias("e")), F.struct(F.lit(False).alias("asks"), index_entries(t, longest).alias("e")))
+    entries = rows.select(*names, F.inline(both)).select(*names, "asks", F.inline("e"))
+    entries = cut_lineage(entries)  # read for its common keys, then by both sides of each join
     n_l, n_r = F.length("v_l"), F.length("v_r")
 
     def once():  # the left end is the longer text; of two equally long ones both look up
         return ((n_l > n_r) | (F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))) & keep()
 
-    def met(left: DataFrame, right: DataFrame, unique: bool) -> DataFrame:
-        found = probe_pairs(left.select(*names, "key"), right.select(*names, "key"), ["key"], id_col, keep=once, unique=unique, ordered=False)
+    def met(rows: DataFrame, unique: bool) -> DataFrame:
+        # Both sides read one shuffle, of a set width: measuring is heavy for the bytes there are.
+        shared = rows.select(*names, "asks", "key").repartition(shuffle_width(rows.sparkSession), "key")
+        sides = [shared.where(asks).drop("asks") for asks in ("asks", "NOT asks")]
+        found = probe_pairs(*sides, ["key"], id_col, keep=once, unique=unique, ordered=False)
         swap = F.col(f"{id_col}_l") > F.col(f"{id_col}_r")
         ends = lambda a, b, s: [F.when(swap, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}")).alias(f"{c}_{s}") for c in names]
         return found.select(*ends("r", "l", "l"), *ends("l", "r", "r"))
 
-    hot = hot_keys(index.select("key").unionByName(probes.select("key")), ["key"], block_rows(values.sparkSession))
-    if hot is None:
-        return met(probes, index, unique=True)
-    hot = hot.select("key")
-    cold = [side.join(hot, "key", "left_anti") for side in (probes, index)]
-    common = [side.join(hot, "key", "left_semi") for side in (probes, index)]
-    found = met(*cold, unique=True)
-    few = [_refined(side.where(F.col("k") <= _FEW), names) for side in common]
-    many = [side.where(F.col("k") > _FEW) for side in common]
-    return found.unionByName(met(*few, unique=False)).unionByName(met(*many, unique=False))
+    # At most one key in ``limit`` entries is common; the written table shows its size.
+    limit = block_rows(values.sparkSession)
+    hot = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("k").alias("_k")).where(F.col("_n") > limit)
+    hot = cut_lineage(hot.select("key", "_k"))
+    most = hot.agg(F.max("_k")).first()[0]
+    if most is None:
+        return met(entries, unique=True)
+    marked = entries.join(hot.withColumnRenamed("key", "_hot"), F.col("key") == F.col("_hot"), "left")
+    few = F.coalesce(F.col("_k") <= _FEW, F.lit(True))
+    keyed = marked.where(few).select(*names, "asks", F.explode(_keys(F.col("_hot").isNotNull())).alias("key"))
+    found = met(keyed, unique=True)
+    return found if most <= _FEW else found.unionByName(met(marked.where(~few), unique=False))
