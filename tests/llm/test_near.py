@@ -9,6 +9,7 @@ import pytest
 from near_brute import bag, components, slow_jaccard
 
 from twinfold.llm import decontaminate, license_scan, minhash_near, vector_near
+from twinfold.llm.common import word_hashes
 
 
 def near_texts():
@@ -125,6 +126,102 @@ def test_edited_copies_beside_a_full_one(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == set(range(51, 71))
 
 
+def edited_copy(rng, words, item, rate):
+    out = []
+    for w in item:
+        x = rng.random()
+        out += [] if x < rate / 3 else [rng.choice(words)] if x < 2 * rate / 3 else [w, rng.choice(words)] if x < rate else [w]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_leaks_that_alignment_of_everything_finds(spark, monkeypatch, seed):
+    """200 documents with 50 items: edited at random, among stock phrases that most of them share."""
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 16)
+    monkeypatch.setattr(decontaminate, "HOT_KEYS", 50)
+    monkeypatch.setattr(decontaminate, "_CUT_WORDS", 300)
+    rng = random.Random(seed)
+    words, stock = [f"v{i}" for i in range(60)], "which of the following is the best answer to this".split()
+    items = [stock[:rng.randrange(11)] + [rng.choice(words) for _ in range(rng.randrange(3, 30))] for _ in range(46)]
+    items += [items[0][:3], [x for w in items[1] for x in (w, w)], ["v1"], ["v1", "v2"]]
+    docs = []
+    for _ in range(196):
+        own = [rng.choice(words) for _ in range(rng.randrange(40))] + stock * rng.randrange(3)
+        for _ in range(rng.randrange(3)):
+            own += edited_copy(rng, words, rng.choice(items[:48]), rng.choice([0, 0.2, 0.4, 0.6])) + [rng.choice(words) for _ in range(rng.randrange(9))]
+        docs.append(own)
+    interleaved = [x for k, w in enumerate(items[2]) for x in ([w, "new"] if k % 2 else [w])]
+    docs += [interleaved, ["v1"], ["v1", "v2"], ["v1", "v2", "v3"]]
+    numbered = lambda lists: {i: word_hashes([" ".join(x)])[0].view(np.int64) for i, x in enumerate(lists)}
+    d, q = numbered(docs), numbered(items)
+    want = {}
+    for (i, x), (j, y) in itertools.product(d.items(), q.items()):
+        if len(y) < 3:
+            score = float(len(x) == len(y) and (x == y).all())
+        else:
+            score = decontaminate.align(x, y)[0] / len(y)
+        if score >= 0.5:
+            want[i, j] = score
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.op1_decontaminate(df, bench).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(want) > 150
+
+
+def test_seeds_are_the_rarest_bigrams(spark):
+    grams = spark.createDataFrame([(1, g, g, 12) for g in range(11)], "item bigint, gram bigint, place bigint, size bigint")
+    counts = spark.createDataFrame([(g, 1 + (7 * g) % 11) for g in range(11)], "gram bigint, f bigint")
+    got = {r.gram: r.support for r in decontaminate.seeds_of(grams, counts).collect()}
+    # 5 of 11 bigrams are in every match, so 3 of the 9 rarest are.
+    assert got == {g: 3 for g in range(11) if 1 + (7 * g) % 11 <= 9}
+
+
+def odd_ids(spark, texts):
+    """Texts under null, negative and repeated ids."""
+    rows = [(i, t, "s", 1) for i in (None, None, -5, -5, 7) for t in texts]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, body string, item_id int")
+
+
+def test_leaks_without_and_with_odd_ids(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    df = odd_ids(spark, [f"a b {item} c", "clean text here", None, ""])
+    bench = spark.createDataFrame([(3, item), (3, item), (None, "q0 q1 q2 q3"), (-4, None)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.op1_decontaminate(df, bench).collect()}
+    assert got == {(i, j, 1.0) for i in (None, -5, 7) for j in (3, None)}
+    kept = decontaminate.keep_clean(df, bench)
+    assert kept.columns == df.columns and kept.count() == 15 and not any(item in (r.text or "") for r in kept.collect())
+
+
+def test_very_long_and_repeated_texts_hold_leaks(spark):
+    rng = random.Random(1)
+    item = [f"q{i}" for i in range(20)]
+    long = " ".join([f"n{rng.randrange(900)}" for _ in range(60_000)] + item + [f"n{rng.randrange(900)}" for _ in range(60_000)])
+    df = spark.createDataFrame([(1, long), (1, long), (2, " ".join(item * 500))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: (r.score, r.first_word) for r in decontaminate.op1_decontaminate(df, bench).collect()}
+    assert got == {1: (1.0, 60_000), 2: (1.0, 0)}
+
+
+def test_near_documents_without_and_with_odd_ids(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    near = base[:70] + ["x"] + base[71:]
+    other = [f"u{i}" for i in range(40)]
+    texts = [" ".join(t) for t in (base, near, other)]
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, ""), (None, None),
+                                (-3, texts[0]), (9, texts[0]), (9, texts[0])], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash_near.op7_near_documents(df).collect()), key=repr)
+    assert got == sorted([(None, -3, None)] * 3 + [(None, None, None)] * 4 + [(-3, -3, True), (9, -3, False), (9, -3, False)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in minhash_near.keep_first(df).collect()), key=repr)
+    assert kept == sorted([(-3, texts[0]), (None, texts[2]), (None, ""), (None, None)], key=repr)
+
+
+def test_licences_of_odd_ids(spark):
+    df = odd_ids(spark, ["Released under the MIT License.", "plain"])
+    got = sorted(((r.doc_id, r.own_license) for r in license_scan.op6_license_scan(df.withColumnRenamed("body", "source")).collect()), key=repr)
+    assert got == sorted([(None, "MIT")] * 4 + [(-5, "MIT")] * 4 + [(7, "MIT")] * 2, key=repr)
+
+
 def test_places_passed_over_score_too_little():
     rng = random.Random(2)
     passed = 0

@@ -198,15 +198,20 @@ def license_scan(files: DataFrame, templates=None) -> DataFrame:
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: ``source/<doc_id div 10000>/<doc_id div 1000>/<doc_id>.txt``."""
+    """Documents as files: ``source/<doc_id div 10000>/<doc_id div 1000>/<doc_id>.txt``.
+
+    Rows without doc_id are the file ``source/none.txt``; a null source is left out of the path."""
     up = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    return docs.select("doc_id", F.concat_ws("/", "source", up(10000), up(1000), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
+    return docs.select("doc_id", F.concat_ws("/", "source", up(10000), up(1000), name).alias("path"), "text")
 
 
 def op6_license_scan(docs: DataFrame) -> DataFrame:
-    """``doc_id`` beside the columns of :func:`license_scan`, for the documents as files."""
+    """``doc_id`` beside the columns of :func:`license_scan`, for the documents as files.
+
+    Rows that repeat a path (a source and a doc_id, null or not) are one file."""
     found = license_scan(document_files(docs))
-    name = F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("bigint")
+    name = F.regexp_extract("path", "(-?[0-9]+)[.]txt$", 1).try_cast("bigint")
     return found.select(name.alias("doc_id"), "path", "own_license", "score", "license", "inherited_from")
 
 

@@ -16,6 +16,8 @@ by block, in one task each, and there a pair is skipped once its classes have me
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -212,15 +214,32 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+_UNNAMED = 1 << 62  # keys from here on stand for texts without doc_id
+
+
+def _key():
+    """doc_id, or for a row without one a key that its text decides: equal texts are one document."""
+    unnamed = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
+    return F.coalesce(F.col("doc_id").cast("bigint"), unnamed)
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id`` of every row: the least doc_id that links of 0.8 or more reach.
 
     Texts without a word, null ones included, link with nothing; rows that repeat
-    a doc_id are one document. A row without doc_id has no class. Links between
-    documents of one class may stay unchecked, since they change no class.
+    a doc_id are one document. Rows without doc_id are compared like others, those of
+    one text as one document; class_id is null where no row of the class has an id.
+    Ids are below 2**62. Links between documents of one class may stay unchecked,
+    since they change no class.
     """
+    named = lambda c: F.when(F.col(c) < _UNNAMED, F.col(c)).alias(c)
+    return keyed_classes(docs).select(named("doc_id"), named("class_id"))
+
+
+def keyed_classes(docs: DataFrame) -> DataFrame:
+    """:func:`near_classes` by the keys of rows, which no row lacks."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(_key().alias("doc_id"), "text")
     signed = scratch.write(map_batches(docs, _sign, "doc_id bigint, bag1 bigint, bag2 bigint, bands array<bigint>,"
                                                     " s1 bigint, s2 bigint, s3 bigint", scan=True))
     bags = signed.where("bag1 IS NOT NULL AND doc_id IS NOT NULL")
@@ -288,6 +307,12 @@ def op7_near_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are first of their class or have no class; all columns stay."""
-    copies = near_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    """The rows of ``docs`` that are first of their class or have no class; all columns stay.
+
+    A class whose rows all lack a doc_id keeps one row of one of its texts; such a
+    text without a word is in no class, and all rows of it stay."""
+    copies = keyed_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("key")).distinct().alias("copy")
+    mark = f"_key{uuid.uuid4().hex}"
+    kept = docs.withColumn(mark, _key()).alias("own").join(copies, F.col(f"own.{mark}") == F.col("copy.key"), "left_anti")
+    twins = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return kept.where(~twins).unionByName(kept.where(twins).dropDuplicates([mark])).drop(mark)
