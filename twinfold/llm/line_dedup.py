@@ -58,7 +58,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     gone = scratch.write(gone.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone")))
     whole = rows.select("doc_id", body, F.split("text", "\n", -1).alias("lines")).alias("whole")
     same = F.col("whole.doc_id").eqNullSafe(F.col("lost.doc_id")) & (F.col("whole.body") == F.col("lost.body"))
-    joined = whole.join(gone.alias("lost"), same, "left").select("whole.doc_id", "lines", "gone")
+    # Documents that lose lines are too many to send to every executor once the corpus
+    # is large, so they meet their texts by a shuffle at every size.
+    joined = whole.join(gone.hint("merge").alias("lost"), same, "left").select("whole.doc_id", "lines", "gone")
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get(F.col("lines"), i)))
     scratch.drop(lines, repeated)
