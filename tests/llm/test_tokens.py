@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from twinfold.llm import piece_codec, token_counts, token_output
+from twinfold.llm import common, piece_codec, token_counts, token_output
 
 PIECES, BYTES, WORDS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
 PARTS = ["a", "b", " ", "  ", "\n", " the", "ing", "'s", "é", "<|endoftext|>", "<|startoftext|>", "中", "1", "!", "\t", "\r",
@@ -65,6 +65,29 @@ def test_token_files_hold_the_ids_in_order(docs):
         start += len(ids)
 
 
+def test_token_files_of_odd_ids(spark):
+    rows = [(5, "b c"), (None, "a"), (-3, "x y"), (5, "b c"), (None, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(token_output.op5_token_output(df, WORDS).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -3, 5, 5, 5]
+    t = Tokenizer.from_file(WORDS)
+    sums = sorted(crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for _, x in rows)
+    assert sorted(r.ids_crc32 for r in got) == sums
+    ends = [r.start + r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *ends[:-1]]
+
+
+def test_memos_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(common, "MEMO_BYTES", 5_000)
+    memo = common.Memo(lambda keys: [k.encode() * 2 for k in keys])
+    for start in range(0, 2_000, 100):
+        keys = [f"k{i}" for i in range(start, start + 100)] + ["x" * 5_000, "k0"]
+        assert memo.fetch([keys, ["k0"]]) == [[k.encode() * 2 for k in keys], [b"k0k0"]]
+        assert len(memo.young) + len(memo.old) < 60 and "x" * 5_000 not in memo.young
+    common.give_back()
+    assert not memo.young and not memo.old
+
+
 def test_blocks_decode_from_any_place_and_notice_damage():
     rng = np.random.default_rng(1)
     ids = rng.zipf(1.3, 120_000).clip(0, 4_999).astype(np.uint32)

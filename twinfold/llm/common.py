@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ENCODED_AT_ONCE = 16_384  # keys of a memo
+MEMO_BYTES = 32 << 20  # of a generation of a memo, about
+LONGEST_KEY = 256  # characters of a text that a memo keeps
+
+
 HOT_KEYS = 65_536  # rows of a broadcast table of hot keys, at most
 
 
@@ -90,9 +96,12 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
     """
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from work(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from work(batch)
+        finally:
+            give_back()
 
     return (spread(df) if scan else df).mapInArrow(run, schema)
 
@@ -127,13 +136,19 @@ class Memo:
     """A bounded map from short texts to what an encoder gives for them.
 
     Two generations: when the young one is full it becomes the old one, so that
-    frequent entries survive and memory stays bounded.
+    frequent entries survive. Each holds ``MEMO_BYTES`` or so, whatever the texts are:
+    long keys are encoded each time. Emptied at the end of a partition (``map_batches``).
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list]):
+        self.encode = encode
+        self.clear()
+        _memos.append(self)
+
+    def clear(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
+        self.size = 0
 
     def fetch(self, lists: list[list[str]]) -> list[list]:
         """What each key of each list encodes to."""
@@ -147,24 +162,45 @@ class Memo:
         return found
 
     def look_up(self, keys: set[str]) -> dict:
-        """A map that holds at least ``keys``."""
-        wanted = keys.difference(self.young)
-        if len(self.young) + len(wanted) > self.limit:
-            self.old, self.young = self.young, {}
-            wanted = set(keys)
-        if self.old:
-            found = wanted.intersection(self.old)
-            self.young.update((k, self.old[k]) for k in found)
-            wanted -= found
-        if wanted:
-            new, collects = list(wanted), gc.isenabled()
-            gc.disable()  # many small objects, none in a cycle
-            try:
-                self.young.update(zip(new, self.encode(new), strict=True))
-            finally:
-                if collects:
-                    gc.enable()
-        return self.young
+        """What each key encodes to."""
+        out = {k: self.young[k] for k in keys if k in self.young}
+        wanted = keys - out.keys()
+        again = {k: self.old[k] for k in wanted if k in self.old}
+        new, collects = list(wanted - again.keys()), gc.isenabled()
+        gc.disable()  # many small objects, none in a cycle
+        try:
+            self._keep(again)
+            out.update(again)
+            for at in range(0, len(new), ENCODED_AT_ONCE):
+                part = new[at: at + ENCODED_AT_ONCE]
+                found = dict(zip(part, self.encode(part), strict=True))
+                self._keep(found)
+                out.update(found)
+        finally:
+            if collects:
+                gc.enable()
+        return out
+
+    def _keep(self, entries: dict) -> None:
+        for k, v in entries.items():
+            if len(k) <= LONGEST_KEY:
+                self.young[k] = v
+                self.size += 200 + len(k) + (len(v) if isinstance(v, bytes) else 0)
+                if self.size > MEMO_BYTES:
+                    self.old, self.young, self.size = self.young, {}, 0
+
+
+_memos: list[Memo] = []  # of this Python worker
+
+
+def give_back() -> None:
+    """Return to the system what a Python worker no longer needs; workers live on from one stage to the next."""
+    for memo in _memos:
+        memo.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 @lru_cache(maxsize=1)

@@ -71,7 +71,10 @@ def _grams(texts: list[str]):
 
 
 def _pieces(texts: list[str]):
-    """Texts cut to at most ``_CHARS``, overlapping so that every n-gram is in one piece only."""
+    """Texts cut to at most ``_CHARS`` at white space, so that every n-gram is in one piece only.
+
+    Where so many characters have no white space among them, the cut falls anywhere: the
+    few n-grams across it are lost, of a million."""
     step = max(ORDERS) - 1
     for i, text in enumerate(texts):
         if len(text) <= _CHARS:

@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from .common import Memo, map_batches, slices, texts_of
 
 MARK = "▁"
-MEMO_WORDS = 600_000  # distinct words a Python worker remembers
-_CHARS = 1 << 21
+_CHARS = 1 << 20
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,7 +227,7 @@ def _memo(path: str) -> Memo:
         marked = [k if k[0] in MARK + "\n" else MARK + k for k in keys]
         return [array("I", x).tobytes() for x in encode_marked(m, marked)]
 
-    return Memo(encode, MEMO_WORDS)
+    return Memo(encode)
 
 
 _RUNS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")

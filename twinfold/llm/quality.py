@@ -101,7 +101,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> QualityModel | N
 
     About ``SAMPLE_DOCS`` documents of each class make a dictionary and as many
     others calibrate, drawn by a hash of doc_id, so what is collected and
-    broadcast is bounded. Sampled documents count with their whole text.
+    broadcast is bounded. Dictionaries are trained on ``SAMPLE_PIECES`` pieces of the
+    drawn texts, or all if they have fewer; calibration takes whole texts.
     """
     marked = labels.where(train & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}

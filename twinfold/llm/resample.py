@@ -181,8 +181,10 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_wor
     gain = gains(bucket_counts(docs), bucket_counts(target))
     scored = scratch.write(weigh(docs, gain, seed))
     fit = scored.where(F.col("n_words") >= min_words)
-    drawn = fit.count() * percent // 100
-    keys = [F.bitwise_not("score"), F.col("doc_id").isNull().cast("bigint"), F.coalesce("doc_id", F.lit(0).cast("bigint"))]
+    size, top = fit.agg(F.count(F.lit(1)), F.coalesce(F.max("score"), F.lit(0))).first()
+    drawn = size * percent // 100
+    # Counted down from the highest score, digits beyond the range of scores are all zero and need no pass.
+    keys = [F.lit(top) - F.col("score"), F.col("doc_id").isNull().cast("bigint"), F.coalesce("doc_id", F.lit(0).cast("bigint"))]
     ranked = radix_ranks(fit, keys, scratch)
     ranked = ranked.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
     return ranked.unionByName(scored.where(F.col("n_words") < min_words).withColumn("rank", F.lit(None).cast("bigint")))

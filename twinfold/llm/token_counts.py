@@ -32,7 +32,6 @@ CHUNK = 32_768  # characters; longer texts are huge
 OVERLAP = 1_024
 GUARD = 32  # characters before a chunk's end that count as disturbed
 LIMIT = 1024
-MEMO_WORDS = 600_000
 _CHARS = 1 << 21
 
 
@@ -95,7 +94,7 @@ def word_counts(words: list[str], path: str, before: str) -> list[int]:
 
 @lru_cache(maxsize=4)
 def _memo(path: str, before: str) -> Memo:
-    return Memo(lambda words: word_counts(words, path, before), MEMO_WORDS)
+    return Memo(lambda words: word_counts(words, path, before))
 
 
 _UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")

@@ -7,9 +7,12 @@ order of doc_id. Its ids are cut into blocks that decode independently: up to
 time. A block starts with its final states, a checkpoint every ``CHECKPOINT`` rows
 allows decoding from the middle, and CRC-32 sums guard block and frame.
 
-Layout, little-endian. Frame: ``TKF1``, crc32 of what follows, counts of documents
-and of blocks (uint32 each); doc ids (int64), numbers of ids (int64), sizes of the
-blocks in bytes (uint32), blocks. Block: header (number of ids, lanes, number of
+Texts are encoded once: the ids are written down in a plain table, from which they are
+counted and put in order.
+
+Layout, little-endian. Frame: ``TKF2``, crc32 of what follows, counts of documents, of
+those without doc_id (they come first) and of blocks (uint32 each); doc ids (int64),
+numbers of ids (int64), sizes of the blocks in bytes (uint32), blocks. Block: header (number of ids, lanes, number of
 words, number of checkpoints, crc32 of the ids, uint32 each), lane states (uint64),
 checkpoints (their words read so far, uint32, then states), words (uint32).
 """
@@ -19,7 +22,6 @@ from __future__ import annotations
 import json
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,22 +29,21 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.settings import shared_folder
-from .common import Memo, map_batches, slices, texts_of
+from .common import Memo, Scratch, map_batches, slices, texts_of
 from .token_counts import BYTE_CHARACTERS, PLAIN, tokenizer
 
-MAGIC = b"TKF1"
+MAGIC = b"TKF2"
 LANES = 1024
 ROWS_PER_BLOCK = 256
 CHECKPOINT = 64  # rows
-FLUSH_WORDS = 600_000
 FRAME_TOKENS = 1 << 20  # a frame is closed once it has as many
-MEMO_WORDS = 800_000
-_CHARS = 1 << 21
+_CHARS = 1 << 23
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 
 
@@ -140,32 +141,33 @@ def decode_block(data: bytes, table: Table, first: int = 0, last: int | None = N
     return ids[first - skip:last - skip]
 
 
-def encode_frame(docs: list[tuple[int, np.ndarray]], table: Table) -> bytes:
+def encode_frame(docs: list[tuple[int | None, np.ndarray]], table: Table) -> bytes:
     ids = np.concatenate([d[1] for d in docs])
     size = LANES * ROWS_PER_BLOCK
     blocks = [encode_block(ids[k:k + size], table) for k in range(0, len(ids), size)]
-    body = np.array([len(docs), len(blocks)], "<u4").tobytes() + np.array([d[0] for d in docs], "<i8").tobytes()
+    nameless = sum(d[0] is None for d in docs)
+    body = np.array([len(docs), nameless, len(blocks)], "<u4").tobytes() + np.array([d[0] or 0 for d in docs], "<i8").tobytes()
     body += np.array([len(d[1]) for d in docs], "<i8").tobytes() + np.array([len(b) for b in blocks], "<u4").tobytes()
     body += b"".join(blocks)
     return MAGIC + np.uint32(crc32(body)).tobytes() + body
 
 
-def decode_frame(data: bytes, table: Table) -> Iterator[tuple[int, np.ndarray]]:
+def decode_frame(data: bytes, table: Table) -> Iterator[tuple[int | None, np.ndarray]]:
     """``(doc_id, ids)`` of a frame's documents, in order."""
     body = memoryview(data)[8:]
     if data[:4] != MAGIC or crc32(body) != int(np.frombuffer(data, "<u4", 1, 4)[0]):
         raise ValueError("not a frame of token ids, or a damaged one")
-    docs, blocks = (int(v) for v in np.frombuffer(body, "<u4", 2))
-    keys = np.frombuffer(body, "<i8", docs, 8)
-    sizes = np.frombuffer(body, "<i8", docs, 8 + 8 * docs)
-    lengths = np.frombuffer(body, "<u4", blocks, 8 + 16 * docs)
-    at, parts = 8 + 16 * docs + 4 * blocks, []
+    docs, nameless, blocks = (int(v) for v in np.frombuffer(body, "<u4", 3))
+    keys = [None] * nameless + np.frombuffer(body, "<i8", docs, 12).tolist()[nameless:]
+    sizes = np.frombuffer(body, "<i8", docs, 12 + 8 * docs)
+    lengths = np.frombuffer(body, "<u4", blocks, 12 + 16 * docs)
+    at, parts = 12 + 16 * docs + 4 * blocks, []
     for size in lengths.tolist():
         parts.append(decode_block(bytes(body[at:at + size]), table))
         at += size
     ids = np.concatenate(parts)
     ends = np.cumsum(sizes)
-    for key, lo, hi in zip(keys.tolist(), (ends - sizes).tolist(), ends.tolist()):
+    for key, lo, hi in zip(keys, (ends - sizes).tolist(), ends.tolist()):
         yield key, ids[lo:hi]
 
 
@@ -184,84 +186,99 @@ def _direct(path: str):
     return regex.compile(split[0]["pattern"]["Regex"]), tokenizer(path).model, [t["content"] for t in steps["added_tokens"]]
 
 
-def word_ids(words: list[str], path: str) -> list[bytes]:
-    """Ids of each word as little-endian uint32, as the library gives them."""
-    direct, out, rest = _direct(path), [b""] * len(words), []
-    split, model, special = direct or (None, None, [])
-    for k, word in enumerate(words):
-        if direct and word.isascii() and word.isalpha():
-            out[k] = array("I", [t.id for t in model.tokenize(word.lower())]).tobytes()
-        elif direct and PLAIN.fullmatch(word) and not any(s in word for s in special):
-            ids = []
-            for part in split.findall(word.lower()):
-                if not part.isascii():
-                    part = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                ids += [t.id for t in model.tokenize(part)]
-            out[k] = array("I", ids).tobytes()
-        else:
-            rest.append(k)
-    for k, e in zip(rest, tokenizer(path).encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-        out[k] = array("I", e.ids).tobytes()
-    return out
-
-
 @lru_cache(maxsize=2)
-def _memo(path: str) -> Memo:
-    return Memo(lambda words: word_ids(words, path), MEMO_WORDS)
+def id_type(path: str) -> str:
+    """Type code of the numbers that ids are kept as before they are compressed: 16 bits where all ids fit."""
+    return "H" if tokenizer(path).get_vocab_size() <= 1 << 16 else "I"
 
 
-def words_of(text: str) -> list[str]:
-    """What encodes independently where the tokenizer drops white space; some are empty."""
-    return text.replace("\n", " ").split(" ")
+def piece_ids(pieces: list[str], path: str) -> list[bytes]:
+    """Ids of what the splitting expression finds, in lower case, from the model itself; a line feed has none."""
+    model, kind = _direct(path)[1], id_type(path)
+    marked = (p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARACTERS) for p in pieces)
+    return [array(kind, [t.id for t in model.tokenize(p)] if p != "\n" else []).tobytes() for p in marked]
 
 
-def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of whole texts, the end id after each; equal words are encoded once."""
-    end = np.array([end_id], np.uint32).tobytes()
-    out = []
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> Memo:
+    return Memo(lambda pieces: piece_ids(pieces, path))
+
+
+def _plain_ids(words: pa.StringArray, path: str) -> pa.LargeBinaryArray:
+    """:func:`word_ids` of plain words: words that differ in case or in the signs around them share their pieces."""
+    together = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+    split = regex.compile(_direct(path)[0].pattern + "|\n")
+    pieces = pa.array(split.findall(together.lower()), pa.string()).dictionary_encode()
+    distinct = pieces.dictionary.to_pylist()
+    ids = pa.array(_pieces(path).fetch([distinct])[0], pa.large_binary()).take(pieces.indices)
+    _, starts, data = ids.buffers()
+    starts = np.frombuffer(starts, np.int64, len(ids) + 1)
+    feed = distinct.index("\n") if len(words) > 1 else -1
+    between = np.flatnonzero(pieces.indices.to_numpy() == feed)  # the ends of all words but the last
+    cuts = np.concatenate([[0], starts[between], starts[-1:]])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(cuts.tobytes()), data or pa.py_buffer(b"")])
+
+
+def word_ids(words: pa.StringArray, path: str) -> pa.LargeBinaryArray:
+    """Ids of each word in numbers of :func:`id_type`, as the library gives them."""
+    direct, plain = _direct(path), np.zeros(len(words), bool)
+    if direct:
+        fit = pc.match_substring_regex(words, f"^{PLAIN.pattern[:-1]}*$")
+        for text in direct[2]:
+            fit = pc.and_not(fit, pc.match_substring(words, text))
+        plain = fit.to_numpy(zero_copy_only=False)
+    rest = tokenizer(path).encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)
+    parts = [pa.array([array(id_type(path), e.ids).tobytes() for e in rest], pa.large_binary())]
+    if plain.any():
+        parts.append(_plain_ids(words.filter(pa.array(plain)), path))
+    place = np.where(plain, (~plain).sum() + np.cumsum(plain) - 1, np.cumsum(~plain) - 1)
+    return pa.concat_arrays(parts).take(pa.array(place))
+
+
+def token_ids(texts: list[str], path: str, end_id: int) -> list[bytes]:
+    """Ids of whole texts in numbers of :func:`id_type`, the end id after each.
+
+    The tokenizer drops white space, so what blanks and line feeds part encodes by itself:
+    each distinct word of some texts is encoded once, and Arrow puts the ids in order."""
+    end, out = array(id_type(path), [end_id]).tobytes(), []
     for lo, hi in slices(texts, _CHARS):
-        parts = [words_of(t) for t in texts[lo:hi]]
-        out += [np.frombuffer(b"".join(found) + end, np.uint32) for found in _memo(path).fetch(parts)]
+        parts = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts[lo:hi]], pa.string()), " ")
+        words = parts.flatten().dictionary_encode()
+        ids = word_ids(words.dictionary, path).take(words.indices)
+        _, starts, data = ids.buffers()
+        cuts = np.frombuffer(starts, np.int64, len(ids) + 1)[parts.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        out += [bytes(data[a:b]) + end for a, b in zip(cuts[:-1], cuts[1:])]
     return out
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all texts; as long as the vocabulary.
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """``doc_id, ids`` of every row of ``docs``; null texts have the end id only."""
+    def work(batch):
+        ids = token_ids(texts_of(batch), path, end_id)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    Words are counted first, so each distinct one is encoded once.
-    """
-    size = max(tokenizer(path).get_vocab_size(), end_id + 1)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_batches(rows, work, "doc_id bigint, ids binary", scan=True)
 
-    def count(batches):
-        seen: Counter = Counter()
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+def count_ids(ids: DataFrame, path: str, end_id: int) -> np.ndarray:
+    """How often each id occurs; as long as the vocabulary."""
+    size, kind = max(tokenizer(path).get_vocab_size(), end_id + 1), id_type(path)
 
+    def count(batches):
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for text in texts_of(batch):
-                seen.update(words_of(text))
-                if len(seen) > FLUSH_WORDS:
-                    yield rows()
-        if seen:
-            yield rows()
-
-    def encode(batches):
-        total = np.zeros(size)
-        for batch in batches:
-            ids = word_ids(batch.column("word").to_pylist(), path)
-            lengths = np.array([len(x) // 4 for x in ids])
-            total += np.bincount(np.frombuffer(b"".join(ids), np.uint32), np.repeat(batch.column("n").to_numpy(), lengths), size)
+            for own in batch.column("ids").to_pylist():
+                total += np.bincount(np.frombuffer(own, kind), minlength=size) if len(own) > size else 0
+            short = b"".join(own for own in batch.column("ids").to_pylist() if len(own) <= size)
+            total += np.bincount(np.frombuffer(short, kind), minlength=size)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen].astype(np.int64))], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["id", "n"])
 
-    words = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = words.mapInArrow(encode, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = ids.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
-    counts[end_id] += docs.count()
     return counts
 
 
@@ -271,13 +288,18 @@ FRAME_FIELDS = "part int, part_start bigint, n_docs bigint, n_tokens bigint, dat
 def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     """Write the texts of ``docs`` to ``folder`` as frames in ascending order of doc_id.
 
-    Null texts are empty: they have the end id only. Rows without doc_id are left
-    out; rows that repeat a doc_id stand next to each other, by text. The counts of
-    the ids are written to ``folder/table``, the frames to ``folder/frames``.
+    Null texts are empty: they have the end id only. Rows without doc_id come first;
+    rows that repeat a doc_id stand next to each other, ordered by a hash of their
+    ids. The counts of the ids are written to ``folder/table``, the frames to
+    ``folder/frames``.
     """
-    spark = docs.sparkSession
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counts = count_ids(rows, path, end_id)
+    spark, kind = docs.sparkSession, id_type(path)
+    if end_id >= 1 << (8 * array(kind).itemsize):
+        raise ValueError("the end id is beyond the vocabulary")
+    scratch = Scratch(spark)
+    # The row's number splits a doc_id that very many equal rows share.
+    ids = scratch.write(encoded(docs, path, end_id).withColumn("body", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()))
+    counts = count_ids(ids, path, end_id)
     counted = pa.table({"id": pa.array(np.arange(len(counts))), "n": pa.array(counts)})
     spark.createDataFrame(counted).coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(make_table(counts))  # as long as the vocabulary
@@ -288,20 +310,20 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            keys, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for lo, hi in slices(texts, _CHARS):
-                for key, ids in zip(keys[lo:hi], token_ids(texts[lo:hi], path, end_id)):
-                    held.append((key, ids))
-                    size += len(ids)
-                    if size >= FRAME_TOKENS:
-                        yield _frame(part, start, held, size, shared.value)
-                        held, size, start = [], 0, start + size
+            for key, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                held.append((key, np.frombuffer(own, kind)))
+                size += len(held[-1][1])
+                if size >= FRAME_TOKENS:
+                    yield _frame(part, start, held, size, shared.value)
+                    held, size, start = [], 0, start + size
         if held:
             yield _frame(part, start, held, size, shared.value)
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "body", "row"]
+    ordered = ids.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     packed = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(pack, FRAME_FIELDS)
     packed.write.option("compression", "none").parquet(f"{folder}/frames")
+    scratch.drop(ids)
 
 
 def _frame(part: int, start: int, docs: list, size: int, table: Table) -> pa.RecordBatch:

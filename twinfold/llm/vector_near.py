@@ -15,6 +15,7 @@ queries against a block of vectors at a time.
 
 from __future__ import annotations
 
+import math
 from heapq import heappop, heappush
 
 import numpy as np
@@ -26,7 +27,9 @@ from ..plans.components import components
 from .common import Scratch, below, map_batches
 
 MIN_COSINE = 0.98
-CODEWORDS = 32  # per half
+CODEWORDS = 32  # per half, at least; with more vectors their root, so that a cell holds some CELL_ROWS
+MOST_CODEWORDS = 1024
+CELL_ROWS = 256
 TARGET_RECALL = 0.9999
 SAMPLE_ROWS = 20_000  # vectors that the codebooks are fitted on, about; all are indexed
 BLOCK = 1024  # vectors per side of one comparison
@@ -42,6 +45,11 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def codewords(size: int) -> int:
+    """Codewords of a half for an index of ``size`` vectors."""
+    return max(CODEWORDS, min(MOST_CODEWORDS, math.ceil(math.sqrt(size / CELL_ROWS))))
+
+
 def fit_codebook(m: np.ndarray, k: int = CODEWORDS, rounds: int = 10) -> np.ndarray:
     """Codewords by k-means from evenly spaced distinct rows; no more than there are rows."""
     rows = np.unique(m, axis=0)
@@ -164,9 +172,10 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, target: flo
         picked = base.where(F.col("dim") == r["dim"]).where(below(F.col("rep"), F.lit(min(1.0, SAMPLE_ROWS / r["n"])))).select("vec").toArrow()
         m = unit_rows(_matrix(picked.column("vec"))) if picked.num_rows else np.eye(1, r["dim"])
         half = r["dim"] // 2
-        one, two = fit_codebook(m[:, :half]) if half else np.zeros((1, 0)), fit_codebook(m[:, half:])
+        k = codewords(r["n"])
+        one, two = fit_codebook(m[:, :half], k) if half else np.zeros((1, 0)), fit_codebook(m[:, half:], k)
         books[r["dim"]] = one, two, stop_bound(m, one, two, min_cosine, target)
-    shared = spark.sparkContext.broadcast(books)  # CODEWORDS rows per half and dimension
+    shared = spark.sparkContext.broadcast(books)  # MOST_CODEWORDS rows per half and dimension, at most
 
     def place(batch):
         dims, vecs = np.array(batch.column("dim").to_pylist()), batch.column("vec")
