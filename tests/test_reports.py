@@ -185,3 +185,25 @@ def test_contract(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["Record 1", "Record 2", "Similarity (%)"]
     assert e.entry(spark).count() > 0
+
+
+def test_ranks_without_one_sort(spark, people):
+    report = reports.to_report(edit.levenshtein_pairs(people, "name"), people, "name")
+    in_order = [tuple(r) for r in reports.rank_pairs(report).collect()]
+    ranked = sorted(tuple(r) for r in reports.ranked_pairs(report).select("rank", *report.columns).collect())
+    assert [r[0] for r in ranked] == list(range(1, 67)) and [r[1:] for r in ranked] == in_order
+    assert sorted(registry.report("Levenshtein Distance", people, "name").select("rank", *report.columns).collect()) == ranked
+    assert reports.ranked_pairs(report.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 20, 66, 500])
+def test_closest_pairs_lower_the_threshold_as_needed(people, n):
+    asked = []
+
+    def compare(least):
+        asked.append(least)
+        return edit.levenshtein_pairs(people, "name", least)
+
+    got = [tuple(r) for r in reports.closest_pairs(compare, n).select("rid_l", "rid_r", "similarity").collect()]
+    want = reports.top_pairs(edit.levenshtein_pairs(people, "name"), n).select("rid_l", "rid_r", "similarity").collect()
+    assert got == [tuple(r) for r in want] and (None in asked) == (n > 20)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from twinfold.operators import clusters, vectors
 from twinfold.plans import metric as metric_plan
+from twinfold.plans import trees
 from twinfold.plans.groups import value_groups
 
 
@@ -218,3 +219,74 @@ def test_distance_reports(spark):
     assert vectors.negative_distances(d).count() == 1
     report = vectors.negative_distance_report(d).first()
     assert (report.negative, report.any_negative, report.lowest) == (1, True, d.agg({"distance": "min"}).first()[0])
+
+
+def brute_ward(rows):
+    """All mergers one at a time: the pair that adds the least variance first."""
+    live = {i: ([i], np.array(r, float)) for i, r in enumerate(rows)}
+    merges = []
+    while len(live) > 1:
+        cost, a, b = min((len(live[a][0]) * len(live[b][0]) / (len(live[a][0]) + len(live[b][0])) * ((live[a][1] - live[b][1]) ** 2).sum(), a, b)
+                         for a, b in itertools.combinations(sorted(live), 2))
+        merges.append((a, b, cost))
+        (x, c), (y, e) = live[a], live.pop(b)
+        live[a] = (x + y, (c * len(x) + e * len(y)) / (len(x) + len(y)))
+    return merges
+
+
+@pytest.mark.parametrize("tail", [2, 30])
+def test_ward_is_exact(spark, small_blocks, monkeypatch, tail):
+    monkeypatch.setattr(trees, "TAIL", tail)
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(40, 3)).round(3).tolist()
+    rows += rows[:3]  # copies merge first, at no cost
+    df = vecs(spark, rows)
+    want = brute_ward(rows)
+    merges = trees.ward_merges(value_groups(df, ["vec"])[0]).collect()
+    assert sorted(m.cost for m in merges) == pytest.approx(sorted(c for _, _, c in want)[3:])
+    for k in (1, 4, 9):
+        got = {r.rid: r.cluster for r in clusters.cluster_hierarchical(df, k).collect()}
+        again = brute_components(len(rows), [(a, b) for a, b, _ in sorted(want, key=lambda m: m[2])[:len(rows) - k]])
+        same_groups = lambda d: {frozenset(i for i in d if d[i] == c) if c >= 0 else None for c in set(d.values())}
+        lone = {frozenset([i]) for i, c in again.items() if c < 0}
+        assert same_groups(got) == (same_groups(again) - {None}) | lone and len(set(got.values())) == k
+    row = clusters.within_variance(df, clusters.cluster_hierarchical(df, 9)).first()
+    assert row.within == pytest.approx(sum(sorted(c for _, _, c in want)[:len(rows) - 9])) and row.records == len(rows)
+
+
+def test_ward_of_equal_gaps_ends(spark, monkeypatch):
+    monkeypatch.setattr(trees, "TAIL", 1)
+    df = vecs(spark, [[float(i), float(j)] for i in range(4) for j in range(4)])
+    assert trees.ward_merges(value_groups(df, ["vec"])[0]).count() == 15
+    assert trees.ward_merges(value_groups(df.limit(0), ["vec"])[0]).count() == 0
+
+
+@pytest.mark.parametrize("metric,radii", [("euclidean", (0.6, 1.0, 1.6)), ("cosine", (0.01, 0.04, 0.2))])
+def test_one_tree_gives_the_density_clusters_of_any_radius(spark, small_blocks, metric, radii):
+    rows = sample(5)
+    df = vecs(spark, rows)
+    tree = clusters.density_tree(df, metric).cache()
+    assert tree.count() == len(rows) - 1
+    d = {p: max(brute_distance(rows[p[0]], rows[p[1]], metric), 0.0) for p in itertools.combinations(range(len(rows)), 2)}
+    for eps in radii:
+        got = {r.rid: r.cluster for r in clusters.cluster_pairs(tree, df, eps).collect()}
+        assert got == brute_components(len(rows), [p for p, x in d.items() if x <= eps])
+
+
+@pytest.mark.parametrize("metric,limit", [("euclidean", 1.0), ("cosine", 1e-4)])
+def test_approximate_search_finds_nine_tenths(spark, metric, limit):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(150, 1, 8)) * 20
+    rows = (centre + rng.normal(size=(150, 6, 8)) * 0.15).reshape(-1, 8).tolist()
+    df = vecs(spark, rows)
+    found, exact = vectors.ann_pairs(df, metric, limit, tables=4, probes=4), vectors.pair_distance(df, metric, limit)
+    row = vectors.ann_recall(found, exact).first()
+    assert row.exact > 1_000 and row.recall >= 0.9
+    assert found.join(exact, ["rid_l", "rid_r"], "left_anti").count() == 0
+    assert vectors.ann_pairs(df.limit(0), metric, limit).count() == 0
+
+
+def test_scatter_has_clusters_and_shown_values(spark):
+    df = spark.createDataFrame([(i, [float(i % 3), float(i)], f"n{i}") for i in range(6)], "rid bigint, vec array<double>, name string")
+    got = clusters.scatter(df, clusters.no_clusters(df), df, "name")
+    assert got.columns == ["rid", "x", "y", "label", "bdv"] and {(r.label, r.bdv) for r in got.collect()} == {(-1, f"n{i}") for i in range(6)}

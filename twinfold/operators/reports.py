@@ -6,10 +6,13 @@ use ``n_pairs`` where it is present, so copies never have to be written out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.groups import PairTable
+from ..plans.ranks import with_rank
 from ..plans.settings import cut_lineage
 from ..sources.records import as_text, validate
 
@@ -67,6 +70,12 @@ def rank_pairs(pairs: PairTable | DataFrame) -> DataFrame:
     return rows.orderBy(*_order(rows))
 
 
+def ranked_pairs(pairs: PairTable | DataFrame) -> DataFrame:
+    """The rows with their ``rank`` in that order, 1 first; no task sorts all of them."""
+    rows = _rows(pairs)
+    return with_rank(rows, _order(rows))
+
+
 def top_pairs(pairs: PairTable | DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of the ranking; each task keeps only ``n`` rows.
 
@@ -86,6 +95,21 @@ def top_pairs(pairs: PairTable | DataFrame, n: int) -> DataFrame:
     return rank_pairs(found.records()).limit(n)
 
 
+def closest_pairs(compare: Callable[[float | None], PairTable], n: int, start: float = 95.0) -> DataFrame:
+    """:func:`top_pairs` of a full comparison, without making one where a threshold will do.
+
+    ``compare`` returns the pairs at a threshold or above, or all for None. The
+    threshold falls, by doubled distances from 100, until ``n`` pairs are at it or
+    above: no pair below can then be among the first ``n``.
+    """
+    least = start
+    while True:
+        found = compare(least)
+        if least is None or (found.pairs.agg(F.sum("n_pairs")).first()[0] or 0) >= n:
+            return top_pairs(found, n)
+        least = 100 - 2 * (100 - least) if least > 50 else None
+
+
 def record_universe(pairs: PairTable | DataFrame) -> DataFrame:
     """Every record that appears in a pair, once."""
     if isinstance(pairs, PairTable):

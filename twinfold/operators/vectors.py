@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import clip_nonneg, words
+from ..plans.blocks import probe_pairs
 from ..plans.groups import PairTable, value_groups
 from ..plans.metric import Placed, bounds, near_pairs, place
 from ..plans.sparse import cosine_pairs, least_cosine, sparse_vectors
-from ..plans.tiles import METRICS
+from ..plans.settings import cut_lineage
+from ..plans.tiles import METRICS, matrix, unit
 from ..sources.records import as_text, validate
 
 
@@ -241,24 +245,78 @@ def _term_pairs(df, texts, numeric_cols, weights, min_similarity, max_distance)
 
 def ann_pairs(
     vectors: DataFrame, metric: str = "euclidean", max_distance: float = 0.5,
-    bucket_length: float | None = None, tables: int = 4, seed: int = 42,
+    tables: int = 6, bits: int | None = None, probes: int = 12, seed: int = 42,
 ) -> DataFrame:
-    """Approximate ``rid_l, rid_r, distance`` up to ``max_distance``, by random projections.
-
-    Cosine runs on unit vectors, where ``d_cos = d_euc ** 2 / 2``. Some pairs can
-    be missed; :func:`pair_distance` misses none.
+    """Approximate ``rid_l, rid_r, distance`` up to ``max_distance``, by random hyperplanes.
+
+    In each table a vector's key says on which side of ``bits`` hyperplanes through the
+    mean it lies. A vector is looked for under its own key and under the ``probes - 1``
+    others that lie nearest across the hyperplanes (multi-probe, by margin). Buckets
+    are counted, large ones compared in blocks, and all pairs found are measured. Some
+    pairs can be missed: :func:`ann_recall` says how many; :func:`pair_distance` misses
+    none. ``bits`` is such that a bucket holds some 64 vectors, 5 at least.
     """
     if metric not in ("cosine", "euclidean"):
-        raise ValueError(f"unknown metric {metric!r}, known are {METRICS}")
-    rows = vectors.select("rid", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    limit = max_distance
-    if metric == "cosine":
-        rows = Normalizer(inputCol="features", outputCol="unit").transform(rows).select("rid", F.col("unit").alias("features"))
-        limit = (2 * max_distance) ** 0.5
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length or 2 * limit, numHashTables=tables, seed=seed
-    ).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, limit, distCol="d")
-    near = near.select(F.col("datasetA.rid").alias("rid_l"), F.col("datasetB.rid").alias("rid_r"), "d").where("rid_l < rid_r")
-    distance = F.col("d") ** 2 / 2 if metric == "cosine" else F.col("d")
-    return near.select("rid_l", "rid_r", distance.alias("distance")).where(F.col("distance") <= max_distance)
+        raise ValueError(f"unknown metric {metric!r}, known are cosine and euclidean")
+    rows = cut_lineage(vectors.select("rid", F.col("vec").cast("array<double>").alias("vec")))
+    placed = hyperplane_keys(rows, tables, bits, probes, seed)
+    keys = ["table", "key"]
+    found = probe_pairs(placed.drop("own"), placed.where("own").drop("own"), keys, "rid", ordered=False).where("rid_l <> rid_r")
+    found = found.select(F.least("rid_l", "rid_r").alias("rid_l"), F.greatest("rid_l", "rid_r").alias("rid_r")).distinct()
+    for s in "lr":
+        found = found.join(rows.select(F.col("rid").alias(f"rid_{s}"), F.col("vec").alias(f"v_{s}")), f"rid_{s}")
+
+    def measure(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.stack([np.asarray(v) for v in batch.column(f"v_{s}").to_pylist()]) for s in "lr")
+            if metric == "cosine":
+                d = 1.0 - (unit(a) * unit(b)).sum(axis=1)
+            else:
+                d = np.sqrt(((a - b) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("rid_l"), batch.column("rid_r"), pa.array(d)], names=["rid_l", "rid_r", "distance"])
+
+    measured = found.select("rid_l", "rid_r", "v_l", "v_r").mapInArrow(measure, "rid_l bigint, rid_r bigint, distance double")
+    return measured.where(F.col("distance") <= max_distance)
+
+
+def hyperplane_keys(rows: DataFrame, tables: int, bits: int | None, probes: int, seed: int) -> DataFrame:
+    """``rid, table, key, own``: the buckets in which each vector is looked for; ``own`` is where it lies."""
+    size = rows.count()
+    bits = bits or max(5, min(24, (size // 64).bit_length()))
+    means = [r["m"] for r in rows.select(F.posexplode("vec").alias("place", "x")).groupBy("place").agg(F.avg("x").alias("m")).orderBy("place").collect()]
+    rng = np.random.default_rng(seed)
+    planes = rng.normal(size=(tables, bits, len(means)))
+    planes /= np.sqrt((planes ** 2).sum(axis=2, keepdims=True)) if means else 1.0
+    offset = planes @ np.array(means)
+    moved = min(bits, 8)  # hyperplanes of the least margin that a probe may cross
+    flips = (np.arange(1 << moved)[:, None] >> np.arange(moved)) & 1
+    probes = min(probes, len(flips))
+
+    def key(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, rid = matrix(pa.Table.from_batches([batch])), batch.column("rid")
+            for t in range(tables):
+                margin = m @ planes[t].T - offset[t]
+                own = ((margin > 0) << np.arange(bits)).sum(axis=1)
+                near = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :moved]
+                cost = np.take_along_axis(np.abs(margin), near, axis=1) ** 2 @ flips.T
+                taken = np.argsort(cost, axis=1, kind="stable")[:, :probes]  # the first crosses nothing
+                crossed = (flips[taken] << near[:, None, :]).sum(axis=2)
+                keys = own[:, None] ^ crossed
+                yield pa.RecordBatch.from_arrays(
+                    [rid.take(pa.array(np.repeat(np.arange(len(m)), probes))), pa.array(np.full(keys.size, t), pa.int32()),
+                     pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(np.arange(probes) == 0, len(m)))],
+                    names=["rid", "table", "key", "own"])
+
+    return cut_lineage(rows.mapInArrow(key, "rid bigint, table int, key bigint, own boolean"))
+
+
+def ann_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row ``exact, found, recall`` for pairs ``rid_l, rid_r`` of an approximate and a full search."""
+    both = exact.select("rid_l", "rid_r").join(found.select("rid_l", "rid_r", F.lit(1).alias("hit")), ["rid_l", "rid_r"], "left")
+    row = both.agg(F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
+    return row.withColumn("recall", F.when(F.col("exact") > 0, F.col("found") / F.col("exact")).otherwise(F.lit(1.0)))

@@ -49,10 +49,23 @@ def _lev_pairs(table, key, cols, weights, least):
 ORACLE: dict[str, str] = {}
 
 ORACLE["lev_supplier"] = f"""
+    SELECT *, row_number() OVER (ORDER BY "Similarity (%)" DESC, "Record 1", "Record 2") AS rank FROM (
     SELECT a.s_name || ' (' || a.s_suppkey || ')' AS "Record 1", b.s_name || ' (' || b.s_suppkey || ')' AS "Record 2",
            round({_lev('a.s_name', 'b.s_name')} * 100, 6) AS "Similarity (%)"
     FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey
-    WHERE {_lev('a.s_name', 'b.s_name')} * 100 >= 94.0"""
+    WHERE {_lev('a.s_name', 'b.s_name')} * 100 >= 94.0)"""
+ORACLE["report_supplier"] = ORACLE["report_csv_supplier"] = ORACLE["lev_supplier"]
+ORACLE["closest_customers"] = f"""
+    SELECT a.c_custkey AS rid_l, b.c_custkey AS rid_r, round({_lev('a.c_name', 'b.c_name')} * 100, 6) AS similarity
+    FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey ORDER BY {_lev('a.c_name', 'b.c_name')} * 100 DESC, 1, 2 LIMIT 40"""
+ORACLE["csv_customer"] = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+ORACLE["dates_orders"] = "SELECT o_orderkey AS rid, o_orderdate::DATE AS day FROM orders"
+ORACLE["roles_orders"] = """
+    WITH c AS (SELECT column_name AS name, column_type AS kind FROM (DESCRIBE orders)),
+    r AS (SELECT name, 'string' AS role FROM c WHERE kind = 'VARCHAR'
+          UNION ALL SELECT name, 'numeric' FROM c WHERE kind IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT', 'FLOAT', 'DOUBLE') OR kind LIKE 'DECIMAL%'
+          UNION ALL SELECT name, 'date' FROM c WHERE kind LIKE 'TIMESTAMP%' OR kind = 'DATE' OR lower(name) LIKE '%date%')
+    SELECT (SELECT count(*) FROM orders) AS records, name, role FROM r"""
 
 ORACLE["lev_part_all"] = _lev_pairs("part", "p_partkey", ["p_name"], [1.0], None)
 ORACLE["lev_part_min80"] = _lev_pairs("part", "p_partkey", ["p_name"], [1.0], 80.0)
@@ -375,6 +388,35 @@ ORACLE["dbscan_embeddings"] = f"""
     numbered AS (SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::INTEGER AS cluster FROM roots)
     SELECT vec_id AS rid, coalesce(cluster, -1) AS cluster FROM embeddings LEFT JOIN numbered ON node = vec_id"""
 
+# The same components at several radii.
+_DENSE = f"""{_VECTORS},
+    near AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v, greatest({_DISTANCE['cosine']}, 0.0) AS x FROM e a JOIN e b ON a.vec_id < b.vec_id
+                          WHERE greatest({_DISTANCE['cosine']}, 0.0) <= 0.6),
+    radii(eps) AS (VALUES (0.5::DOUBLE), (0.52::DOUBLE), (0.55::DOUBLE), (0.6::DOUBLE)),
+    links AS MATERIALIZED (SELECT eps, u, v FROM near JOIN radii ON x <= eps UNION ALL SELECT eps, v, u FROM near JOIN radii ON x <= eps),
+    reach AS (SELECT eps, u AS node, u AS root FROM links UNION SELECT r.eps, l.v, r.root FROM reach r JOIN links l ON l.u = r.node AND l.eps = r.eps WHERE r.root < l.v),
+    roots AS (SELECT eps, node, min(root) AS root FROM reach GROUP BY 1, 2)"""
+ORACLE["density_radii_embeddings"] = f"""
+    WITH RECURSIVE {_DENSE}
+    SELECT eps, (SELECT count(DISTINCT root) FROM roots r WHERE r.eps = radii.eps) AS clusters,
+           (SELECT count(*) FROM embeddings) - (SELECT count(*) FROM roots r WHERE r.eps = radii.eps) AS alone
+    FROM radii WHERE eps > 0.5"""
+ORACLE["artifacts_embeddings"] = f"""
+    WITH RECURSIVE {_DENSE},
+    numbered AS (SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::INTEGER AS cluster FROM roots WHERE eps = 0.5)
+    SELECT vec_id AS rid, len(embedding)::INTEGER AS dims, coalesce(cluster, -1) AS cluster FROM embeddings LEFT JOIN numbered ON node = vec_id"""
+ORACLE["variance_kmeans_embeddings"] = ORACLE["variance_hierarchical_embeddings"] = """
+    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    v AS (SELECT var_pop(x) * count(*) AS s FROM x GROUP BY i)
+    SELECT 5::BIGINT AS clusters, (SELECT count(*) FROM embeddings) AS records, round(sum(s), 4) AS total, true AS less_within FROM v"""
+ORACLE["ann_recall_embeddings"] = f"""
+    WITH {_VECTORS}
+    SELECT count(*) AS exact, true AS recalled, true AS spread_out FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {_DISTANCE['cosine']} <= 0.6"""
+ORACLE["ann_embeddings"] = f"""
+    WITH {_VECTORS}
+    SELECT a.vec_id AS rid_l, b.vec_id AS rid_r, {_DISTANCE['cosine']} AS distance
+    FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {_DISTANCE['cosine']} <= 0.55"""
+
 ORACLE["no_clusters_embeddings"] = "SELECT vec_id AS rid, -1 AS cluster FROM embeddings"
 
 _TERMS = r"tc AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1, 2)"
@@ -493,3 +535,8 @@ ORACLE["row_positions_orders"] = "SELECT (row_number() OVER () - 1)::BIGINT AS r
 ORACLE["filled_labels"] = """
     SELECT doc_id, coalesce(lang, '') AS lang, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic
     FROM documents LEFT JOIN labels USING (doc_id)"""
+
+ORACLE["scored_held_out_documents"] = f"""
+    WITH {_DOC_PAIRS}
+    SELECT rid_l, rid_r, n_pairs, true AS probable FROM dp
+    WHERE ('0x' || substr(md5(rid_l || '-' || rid_r || '-split42'), 1, 8))::BIGINT < {int(0.2 * 2**32)}"""

@@ -235,23 +235,38 @@ def match_groups(
         scores.append(part)
         weights.append(lookups[i].weight if kind == "lookup" else residuals[i].weight)
     similarity = weighted_mean(scores, weights) * F.lit(100.0 / scale)
-    joined = probe_pairs(
-        left, right, keys, "gid", keep=lambda: similarity >= F.lit(float(min_similarity)), unique=unique
-    )
-    return joined.withColumn("similarity", similarity)
+    enough = lambda: similarity >= F.lit(float(min_similarity))
+    if not bands:
+        return probe_pairs(left, right, keys, "gid", keep=enough, unique=unique).withColumn("similarity", similarity)
+    once = lambda: once_by_cell("gid") & enough()
+    joined = probe_pairs(left, right, keys, "gid", keep=once, unique=unique, ordered=False).withColumn("similarity", similarity)
+    return in_order(joined, "gid")
 
 
 def near_cells(left: DataFrame, right: DataFrame, bands: Sequence[Band]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Grid cells: each right row in its own, each left row in all that touch it."""
+    """Grid cells: each right row in its own, each left row in its own and those that touch it on one side.
+
+    Of two cells that touch, one looks into the other; inside a cell ids decide (:func:`once_by_cell`)."""
     names = [f"_c{i}" for i in range(len(bands))]
+    here = (0,) * len(bands)
     near = F.array(*[
-        F.struct(*[(_cell(b) + F.lit(step).cast("bigint")).alias(n) for b, n, step in zip(bands, names, steps)])
-        for steps in product((-1, 0, 1), repeat=len(bands))
+        F.struct(F.lit(steps == here).alias("_own_cell"), *[(_cell(b) + F.lit(step).cast("bigint")).alias(n) for b, n, step in zip(bands, names, steps)])
+        for steps in product((-1, 0, 1), repeat=len(bands)) if steps >= here
     ])
-    left = left.select("*", F.explode(near).alias("_near"))
-    left = left.select("*", *[F.col("_near")[n].alias(n) for n in names]).drop("_near")
+    left = left.select("*", F.inline(near))
     return left, right.select("*", *[_cell(b).alias(n) for b, n in zip(bands, names)]), names
 
 
+def once_by_cell(id_col: str) -> Column:
+    """The condition by which a join over :func:`near_cells` finds each pair once, in any order."""
+    return ~F.col("_own_cell_l") | (F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
+
+
+def in_order(pairs: DataFrame, id_col: str) -> DataFrame:
+    """``pairs`` with the smaller id left; the other columns of the two ends stay where they are."""
+    l, r = F.col(f"{id_col}_l"), F.col(f"{id_col}_r")
+    return pairs.withColumns({f"{id_col}_l": F.least(l, r), f"{id_col}_r": F.greatest(l, r)}).drop("_own_cell_l")
+
+
 def _cell(band: Band) -> Column:
     return F.floor((F.col(band.column) - F.lit(band.origin)) / F.lit(band.width)).cast("bigint")

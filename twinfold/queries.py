@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from .operators import classifier, clusters, composite, edit, fuzzy, lsh, phonetic, reports, vectors
 from .functions.phonetic import metaphone
-from .functions.scores import words
+from .functions.scores import parse_date, words
 from .plans.groups import PairTable, all_pairs, copies, distinct_value_pairs, value_groups
-from .plans.settings import cut_lineage
+from .plans.settings import cut_lineage, shared_folder
+from . import registry
 from .registry import custom_scorer
-from .sources.records import fill_missing, with_rid
+from .sources.records import column_roles, fill_missing, read_records, with_rid
+from .sources.sinks import write_artifacts, write_pairs_csv
 
 # The key column that orders the pairs of each table.
 KEYS = {
@@ -34,7 +37,7 @@ def _out(pairs: PairTable | DataFrame) -> DataFrame:
 def lev_supplier(spark, d):
     supplier = table(spark, d, "supplier")
     report = reports.to_report(edit.levenshtein_pairs(supplier, "s_name", 94.0), supplier, "s_name")
-    return report.withColumn("Similarity (%)", F.round("Similarity (%)", 6))
+    return reports.ranked_pairs(report.withColumn("Similarity (%)", F.round("Similarity (%)", 6)))
 
 
 def lev_part_all(spark, d):
@@ -363,6 +366,111 @@ def filled_labels(spark, d):
     return fill_missing(joined, ["lang"], ["quality", "toxic"], num=-1)
 
 
+def report_supplier(spark, d):
+    found = registry.report("Levenshtein Distance", table(spark, d, "supplier"), "s_name", min_similarity=94.0)
+    return found.withColumn("Similarity (%)", F.round("Similarity (%)", 6))
+
+
+def closest_customers(spark, d):
+    customer = table(spark, d, "customer")
+    return _out(reports.closest_pairs(lambda least: edit.levenshtein_pairs(customer, "c_name", least), 40))
+
+
+def _folder(spark):
+    return f"{shared_folder(spark).rstrip('/')}/twinfold-{uuid.uuid4().hex}"
+
+
+def csv_customer(spark, d):
+    """Customers written as CSV and read back; the types are found again."""
+    path = _folder(spark)
+    table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").write.option("header", True).csv(path)
+    return read_records(spark, path)
+
+
+def report_csv_supplier(spark, d):
+    """The report written as CSV and read back."""
+    path = _folder(spark)
+    write_pairs_csv(lev_supplier(spark, d), path)
+    return read_records(spark, path)
+
+
+def artifacts_embeddings(spark, d):
+    """Vectors and density clusters kept beside the pairs, read back."""
+    path = _folder(spark)
+    found = registry.run("Embedding Similarity", table(spark, d, "embeddings"), "label", text_columns=["embedding"],
+                         clustering_algorithm="DBSCAN", min_similarity=60.0)
+    write_artifacts(found.artifacts["vectors"], found.artifacts["labels"], path)
+    labels, kept = spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/vectors")
+    return kept.select("rid", F.size("vec").alias("dims")).join(labels, "rid")
+
+
+def roles_orders(spark, d):
+    """Which columns can be compared as texts, numbers and dates."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    roles = column_roles(orders)
+    rows = [(c, role) for role in ("string", "numeric", "date") for c in getattr(roles, role)]
+    size = orders.agg(F.count(F.lit(1)).alias("records"))
+    return size.select("records", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(r).alias("role")) for c, r in rows])).alias("x")).select("records", "x.*")
+
+
+def dates_orders(spark, d):
+    """Order dates written in four layouts, then parsed."""
+    orders = table(spark, d, "orders").select("rid", F.col("o_orderdate").cast("timestamp").alias("t"))
+    kind = F.pmod(F.col("rid"), F.lit(4))
+    text = F.when(kind == 0, F.date_format("t", "yyyy-MM-dd")).when(kind == 1, F.date_format("t", "MM/dd/yyyy"))
+    text = text.when(kind == 2, F.date_format("t", "d MMM yyyy")).otherwise(F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
+    return orders.select("rid", parse_date(text).cast("date").alias("day"))
+
+
+def variance_kmeans_embeddings(spark, d):
+    rows = _vectors(spark, d)
+    return _variance(clusters.within_variance(rows, clusters.cluster_kmeans(rows, 5)))
+
+
+def variance_hierarchical_embeddings(spark, d):
+    rows = _vectors(spark, d)
+    return _variance(clusters.within_variance(rows, clusters.cluster_hierarchical(rows, 5)))
+
+
+def _variance(row):
+    return row.select("clusters", "records", F.round("total", 4).alias("total"), (F.col("within") < F.col("total")).alias("less_within"))
+
+
+def density_radii_embeddings(spark, d):
+    """Clusters and lone records at several radii, all from one tree."""
+    rows = _vectors(spark, d)
+    tree, out = cut_lineage(clusters.density_tree(rows, "cosine")), None
+    for eps in (0.52, 0.55, 0.6):
+        found = clusters.cluster_pairs(tree, rows, eps)
+        row = found.agg(F.lit(eps).alias("eps"), F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"),
+                        F.count_if(F.col("cluster") < 0).alias("alone"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def ann_recall_embeddings(spark, d):
+    """Does the approximate search find nine tenths of the pairs, and is no bucket large?"""
+    rows = _vectors(spark, d)
+    recall = vectors.ann_recall(vectors.ann_pairs(rows, "cosine", 0.6), vectors.pair_distance(rows, "cosine", 0.6))
+    sizes = vectors.hyperplane_keys(rows.select("rid", F.col("vec").cast("array<double>").alias("vec")), 6, None, 12, 42).where("own")
+    share = sizes.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") * 6 / F.sum("n")).alias("share"))
+    both = recall.withColumn("k", F.lit(1)).join(share.withColumn("k", F.lit(1)), "k")
+    return both.select("exact", (F.col("recall") >= 0.9).alias("recalled"), (F.col("share") < 0.1).alias("spread_out"))
+
+
+def scored_held_out_documents(spark, d):
+    """Every held-out pair gets a probability; labels are drawn by a hash."""
+    texts, members, pairs = _document_pairs(table(spark, d, "documents"))
+    found = classifier.classifier_pairs(texts, ["text"], ["n_chars"], None, pairs, threshold=0.0, members=members).pairs
+    return found.select(F.col("gid_l").alias("rid_l"), F.col("gid_r").alias("rid_r"), "n_pairs", F.col("similarity").between(0, 100).alias("probable"))
+
+
+def scatter_embeddings(spark, d):
+    rows = table(spark, d, "embeddings")
+    flat = rows.select("rid", F.col("embedding").alias("vec"))
+    return clusters.scatter(flat, clusters.cluster_density(flat, 0.55, "cosine"), rows, "label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         lev_supplier, lev_part_all, lev_part_min80, lev_customer_min94, lev_pages_url, qgram_pages_url,
@@ -375,6 +483,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pair_features_documents, pair_features_nation, split_labels_documents, classifier_documents, histogram_part,
         histogram_orders, matrix_part, matrix_wide_type, edges_part, nodes_part, degrees_part, universe_part,
         top_pairs_part, attach_customer, custom_scorer_part, all_pairs_nation, row_positions_orders, filled_labels,
+        report_supplier, closest_customers, csv_customer, report_csv_supplier, artifacts_embeddings, roles_orders, dates_orders,
+        variance_kmeans_embeddings, variance_hierarchical_embeddings, density_radii_embeddings, ann_recall_embeddings, scatter_embeddings, scored_held_out_documents,
     )
 }
 QUERIES.update({f"embedding_{m}": _embedding(m, cut) for m, cut in EMBEDDING_CUTS.items()})

@@ -16,6 +16,7 @@ from .operators.edit import levenshtein_pairs, weighted_levenshtein_pairs
 from .operators.fuzzy import fuzzy_pairs
 from .operators.lsh import lsh_pairs
 from .operators.phonetic import metaphone_pairs
+from .operators.reports import ranked_pairs, to_report
 from .operators.vectors import embedding_pairs
 from .plans.groups import PairTable
 from .plans.tiles import METRICS
@@ -310,3 +311,8 @@ def run(method: str, df: DataFrame, bdv: str, **params) -> PairTable:
         raise ValueError(f"unknown method '{method}'; known: {sorted(_METHODS)}")
     validate(df, bdv)
     return _METHODS[method](**params).compare(df, bdv)
+
+
+def report(method: str, df: DataFrame, bdv: str, **params) -> DataFrame:
+    """Compare with a registered method: labelled pairs of records, most similar first, with their ``rank``."""
+    return ranked_pairs(to_report(run(method, df, bdv, **params), df, bdv))
