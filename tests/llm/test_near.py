@@ -83,6 +83,34 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert vector_near.op2_near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_planted_near_vectors_equal_sql(spark, monkeypatch, seed):
+    import duckdb
+
+    monkeypatch.setattr(vector_near, "CELL_ROWS", 1)  # a cell for few vectors
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(60):
+        v = rng.normal(size=32)
+        for _ in range(rng.integers(1, 6)):  # copies around cosine 0.98, on either side
+            rows.append((len(rows) * 2 - 100, (v + rng.normal(size=32) * rng.choice([0.05, 0.14, 0.2])).astype(np.float32).tolist(), int(rng.integers(2))))
+    rows += [(1000 + k, rows[3][1], rows[3][2]) for k in range(5)] + [(2000, None, 1), (2001, rows[0][1], None), (2002, [0.0] * 32, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = sorted(con.execute(vector_near.OP2_SQL).fetchall())
+    assert sum(r[1] for r in want) > 60
+    extra = df.selectExpr("vec_id", "embedding", "label", "1 AS rep", "2 AS cell", "3 AS n_links")
+    assert sorted(tuple(r) for r in vector_near.op2_near_vectors(extra).collect()) == want
+
+
+def test_near_vectors_of_repeated_and_missing_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, a, 0), (1, b, 0), (2, b, 0), (None, a, 0), (None, a, 0), (3, [0.0, 0.0, 1.0], 0)]
+    got = sorted((tuple(r) for r in vector_near.op2_near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, None), (None, 0, None, None), (3, 0, 3, True)], key=repr)
+
+
 def test_cells_are_visited_in_order():
     a, b = np.array([0.3, 0.0, 0.1]), np.array([0.0, 0.25])
     got = list(vector_near.visit(a, b, 0.3))

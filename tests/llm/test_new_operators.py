@@ -178,7 +178,7 @@ def brute_resample(docs, target):
 DRAW = "doc_id", "n_features", "weight", "score", "rank"
 
 
-@pytest.mark.parametrize("block,chars", [(1 << 14, 1 << 20), (7, 50)])
+@pytest.mark.parametrize("block,chars", [(1 << 14, 1 << 20), (64, 50)])
 def test_resampling_equals_brute_force_and_sql(spark, monkeypatch, block, chars):
     monkeypatch.setattr(radix, "BLOCK_ROWS", block)
     monkeypatch.setattr(resample, "_CHARS", chars)
@@ -193,7 +193,7 @@ def test_resampling_equals_brute_force_and_sql(spark, monkeypatch, block, chars)
     want = brute_resample(docs, target)
     assert sum(r[4] is not None for r in want) >= 9
     assert rows_of(resample.op11_importance_resampling(df, bench), *DRAW) == want
-    if block > 7:
+    if block > 64:
         con = duckdb.connect()
         con.register("documents", df.select("doc_id", "text").toArrow())
         con.register("benchmark", bench.toArrow())
