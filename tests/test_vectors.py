@@ -104,6 +104,38 @@ def test_blocks_that_cannot_matter_are_skipped(spark, metric, cutoff):
         spark.conf.unset("spark.twinfold.vectorBlockRows")
 
 
+@pytest.mark.parametrize("metric,cutoff", [("euclidean", 9.5), ("manhattan", 60.0), ("chebyshev", 2.2), ("cosine", 0.8)])
+def test_vectors_that_rule_nothing_out_are_copied_few_times(spark, small_blocks, metric, cutoff):
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(300, 48)).tolist() + [[0.0] * 48] * 20
+    df = vecs(spark, rows)
+    ids = df.select(F.col("rid").alias("gid"), F.lit(1).cast("bigint").alias("n"), "vec")
+    placed = metric_plan.place(ids, metric, len(rows))
+    tiles = metric_plan.tiles(placed, float("inf"))
+    assert tiles._df.count() <= 24 * len(rows) and tiles.count().count() >= 8
+    d = {p: brute_distance(rows[p[0]], rows[p[1]], metric) for p in itertools.combinations(range(len(rows)), 2)}
+    got = {(r.rid_l, r.rid_r): r.distance for r in vectors.pair_distance(df, metric, cutoff).collect()}
+    want = {p: x for p, x in d.items() if x <= cutoff}
+    assert 500 < len(want) < len(d) and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    bounds = vectors.vector_bounds(df, metric).first()
+    assert bounds.max_distance == pytest.approx(max(d.values())) and bounds.lowest == pytest.approx(min(d.values()), abs=1e-9)
+
+
+def test_hierarchies_over_groups_of_blocks(spark, small_blocks, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(220, 12)).tolist()
+    df = vecs(spark, rows)
+    merges = trees.ward_merges(value_groups(df, ["vec"])[0]).collect()
+    assert sorted(m.cost for m in merges) == pytest.approx(sorted(c for _, _, c in brute_ward(rows)))
+    d = {p: brute_distance(rows[p[0]], rows[p[1]], "euclidean") for p in itertools.combinations(range(len(rows)), 2)}
+    tree = clusters.density_tree(df, "euclidean").collect()
+    eps = sorted(d.values())[400]
+    want = brute_components(len(rows), [p for p, x in d.items() if x <= eps])
+    got = brute_components(len(rows), sorted((r.rid_l, r.rid_r) for r in tree if r.distance <= eps))
+    assert len(tree) == len(rows) - 1 and got == want
+    assert {r.rid: r.cluster for r in clusters.cluster_density(df, eps, "euclidean").collect()} == want
+
+
 def test_bounds_of_few_vectors(spark):
     for rows, top in (([[3.0, 4.0]], None), ([[0.0, 0.0], [0.0, 0.0]], 1.0), ([[1.0, 0.0], [-1.0, 0.0]], 2.0)):
         assert vectors.vector_bounds(vecs(spark, rows), "cosine").first().max_distance == top
