@@ -322,3 +322,14 @@ def test_scatter_has_clusters_and_shown_values(spark):
     df = spark.createDataFrame([(i, [float(i % 3), float(i)], f"n{i}") for i in range(6)], "rid bigint, vec array<double>, name string")
     got = clusters.scatter(df, clusters.no_clusters(df), df, "name")
     assert got.columns == ["rid", "x", "y", "label", "bdv"] and {(r.label, r.bdv) for r in got.collect()} == {(-1, f"n{i}") for i in range(6)}
+
+
+def test_approximate_search_measures_inside_the_buckets(spark, small_blocks):
+    rows = [r for r in sample(7) if any(r)] + [[1.0, 2.0, 3.0, 4.0, 5.0 + i * 1e-3] for i in range(40)]  # a bucket of several blocks
+    df = vecs(spark, rows)
+    found = vectors.ann_pairs(df, "euclidean", 1.0)
+    assert "v_l" not in found._jdf.queryExecution().toString()  # no pair travels with two vectors
+    got = {(r.rid_l, r.rid_r) for r in found.collect()}
+    spark.conf.set("spark.twinfold.vectorBlockRows", "4096")
+    whole = {(r.rid_l, r.rid_r) for r in vectors.ann_pairs(df, "euclidean", 1.0).collect()}
+    assert got == whole and len(got) == found.count() and {(a, b) for a, b in got if a >= len(rows) - 40} >= {(len(rows) - 40, len(rows) - 1)}
