@@ -207,3 +207,36 @@ def test_closest_pairs_lower_the_threshold_as_needed(people, n):
     got = [tuple(r) for r in reports.closest_pairs(compare, n).select("rid_l", "rid_r", "similarity").collect()]
     want = reports.top_pairs(edit.levenshtein_pairs(people, "name"), n).select("rid_l", "rid_r", "similarity").collect()
     assert got == [tuple(r) for r in want] and (None in asked) == (n > 20)
+
+
+def test_top_pairs_look_at_all_pairs_once(spark):
+    from twinfold.operators import reports
+    from twinfold.plans.groups import PairTable
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(a, b, 1, float(100 - (a + b) % 7)) for a in range(0, 40, 2) for b in range(a + 2, 40, 2)]
+    across = spark.createDataFrame(rows, "gid_l bigint, gid_r bigint, n_pairs bigint, similarity double")
+    members = spark.createDataFrame([(g, g) for g in range(0, 40, 2)], "gid bigint, rid bigint")
+    table = PairTable(across.mapInArrow(counted, across.schema), members)
+    got = [(r.similarity, r.rid_l, r.rid_r) for r in reports.closest_pairs(lambda least: table, 9).collect()]
+    assert got == sorted(((s, a, b) for a, b, _, s in rows), key=lambda r: (-r[0], r[1], r[2]))[:9]
+    assert seen.value == len(rows)
+
+
+def test_top_pairs_of_copies_come_in_order(spark):
+    from brute import record_pairs
+    from twinfold.operators import edit, reports
+
+    names = ["anna", "anne", "anna", "bob", "anna", "anne", "bobb", "anna"]
+    df = spark.createDataFrame(list(enumerate(names)), "rid bigint, t string")
+    found = edit.levenshtein_pairs(df, "t")
+    want = sorted(((-s, *p) for p, s in record_pairs(found).items()))
+    for n in (1, 5, 8, 20, 50):
+        got = [(-r.similarity, r.rid_l, r.rid_r) for r in reports.top_pairs(found, n).collect()]
+        assert got == want[:n]
