@@ -320,3 +320,32 @@ def test_swapped_order_changes_nothing(spark):
 
 def test_words_definition():
     assert words("Red, red BOLT") == ["bolt", "red"]
+
+
+def test_terms_of_a_pair_travel_as_arrays(spark):
+    from twinfold.operators import classifier
+
+    texts = ["red bolt red", "red gear", "blue nut", "", "bolt gear red gear"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid bigint, t string")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a + 1, 5)], "rid_l bigint, rid_r bigint")
+    found = classifier.tfidf_cosine(classifier.term_counts(df, "t"), pairs)
+    assert "term#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.rid_l, r.rid_r): r.sim for r in found.collect()}
+    weigh = lambda x, y: [x.count(t) * (1 if t in y else classifier.ONE_SIDED) for t in sorted({*x, *y})]
+    want = {}
+    for a in range(5):
+        for b in range(a + 1, 5):
+            x, y = texts[a].split(), texts[b].split()
+            if {*x} & {*y}:
+                u, v = weigh(x, y), weigh(y, x)
+                want[a, b] = sum(i * j for i, j in zip(u, v)) / (sum(i * i for i in u) * sum(j * j for j in v)) ** 0.5
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_texts_of_the_same_pieces_meet_once(spark, small_blocks):
+    from twinfold.plans import grams
+
+    rows = [(i, f"https://www.example.com/en/{i * 37 % 1000}.html?page=2&ref={i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, v string")
+    found = grams.gram_pairs(df, "id", grams.qgrams("v", 2), F.lit(20), lambda: F.lit(True))
+    assert found.count() == found.select("id_l", "id_r").distinct().count() == 60 * 59 // 2
