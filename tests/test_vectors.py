@@ -333,3 +333,10 @@ def test_approximate_search_measures_inside_the_buckets(spark, small_blocks):
     spark.conf.set("spark.twinfold.vectorBlockRows", "4096")
     whole = {(r.rid_l, r.rid_r) for r in vectors.ann_pairs(df, "euclidean", 1.0).collect()}
     assert got == whole and len(got) == found.count() and {(a, b) for a, b in got if a >= len(rows) - 40} >= {(len(rows) - 40, len(rows) - 1)}
+
+
+def test_approximate_search_of_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (3, [-9.0, 4.0])]
+    df = spark.createDataFrame(rows, "rid bigint, vec array<double>")
+    got = [(r.rid_l, r.rid_r, round(r.distance, 6)) for r in vectors.ann_pairs(df, "euclidean", 0.5).collect()]
+    assert got == [(1, 2, 0.01)] * 4  # one row for each two rows
