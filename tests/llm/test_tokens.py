@@ -1,5 +1,6 @@
 """Token operators against the libraries whose ids they must give."""
 
+import cProfile
 import random
 from hashlib import sha256
 from zlib import crc32
@@ -111,3 +112,22 @@ def test_empty_tables(spark):
     assert piece_codec.op3_pieces(none, PIECES).count() == 0
     assert token_counts.op8_token_counts(none, BYTES).count() == 0
     assert token_output.op5_token_output(none, WORDS).count() == 0
+
+
+def test_encoding_words_takes_no_step_of_python_per_token():
+    rng, m = random.Random(3), piece_codec.load(PIECES)
+    letters = sorted(c for c in m.known if c.isalpha())[:200]
+    marked = [piece_codec.MARK + "".join(rng.choices(letters, k=rng.randrange(1, 24))) for _ in range(4000)]
+    profile = cProfile.Profile()
+    ids = profile.runcall(piece_codec.encode_marked, m, marked)
+    assert sum(map(len, ids)) > 4 * 8 * len(marked)  # more than eight tokens a word
+    assert sum(entry.callcount for entry in profile.getstats()) < 6 * len(marked)
+
+
+def test_marked_texts_with_odd_characters_equal_the_library():
+    sp, m, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.load(PIECES), random.Random(4)
+    texts = ["", "\n", "a\nb", "]^-\\[", "\U0001f9ec", "x\U0001f9ec\U0001f9ecy", "\n"]
+    texts += ["".join(rng.choices("abé \n]^-\\\U0001f9ec是", k=rng.randrange(40))) for _ in range(300)]
+    for some in (texts, texts[:1], texts[3:4], []):
+        found = piece_codec.encode_marked(m, [piece_codec.MARK + t.replace(" ", piece_codec.MARK) if t else "" for t in some])
+        assert [np.frombuffer(x, np.uint32).tolist() for x in found] == [sp.encode(t) for t in some]

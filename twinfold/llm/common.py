@@ -163,10 +163,10 @@ class Memo:
 
     def look_up(self, keys: set[str]) -> dict:
         """What each key encodes to."""
-        out = {k: self.young[k] for k in keys if k in self.young}
-        wanted = keys - out.keys()
-        again = {k: self.old[k] for k in wanted if k in self.old}
-        new, collects = list(wanted - again.keys()), gc.isenabled()
+        out = dict(zip(keys, map(self.young.get, keys)))
+        wanted = [k for k, v in out.items() if v is None]
+        again = {k: v for k, v in zip(wanted, map(self.old.get, wanted)) if v is not None}
+        new, collects = [k for k in wanted if k not in again] if again else wanted, gc.isenabled()
         gc.disable()  # many small objects, none in a cycle
         try:
             self._keep(again)
