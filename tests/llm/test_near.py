@@ -196,6 +196,26 @@ def test_all_leaks_that_alignment_of_everything_finds(spark, monkeypatch, seed):
     assert got == {k: pytest.approx(v) for k, v in want.items()} and len(want) > 150
 
 
+def test_hits_are_joined_with_seeds_only(spark, monkeypatch):
+    """Hits of common grams get their block where they are found: no join of its own, however many there are."""
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 4)
+    monkeypatch.setattr(decontaminate, "HOT_KEYS", 50)
+    plans, met = [], decontaminate._met
+
+    def seen(hits, *args):
+        out = met(hits, *args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(decontaminate, "_met", seen)
+    text = "which of the following is the best answer to this"
+    df = spark.createDataFrame([(i if i % 5 else None, f"{text} d{i}") for i in range(60)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.op1_decontaminate(df, bench).collect()} == {None, *(i for i in range(60) if i % 5)}
+    assert decontaminate.keep_clean(df, bench).count() == 0
+    assert [p.count("Join LeftOuter") for p in plans] == [1, 1]  # of seeds and common grams
+
+
 def test_seeds_are_the_rarest_bigrams(spark):
     grams = spark.createDataFrame([(1, g, g, 12) for g in range(11)], "item bigint, gram bigint, place bigint, size bigint")
     counts = spark.createDataFrame([(g, 1 + (7 * g) % 11) for g in range(11)], "gram bigint, f bigint")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, slices, texts_of, windows, word_hashes
+from .common import Scratch, map_batches, mix, slices, texts_of, windows, word_hashes
 
 WORDS = 2
 MIN_SCORE = 0.5  # of the score of an unchanged copy of the whole item
@@ -169,18 +169,39 @@ def seeds_of(grams: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.withColumn("support", support).where((F.col("rank") <= lead) & (F.col("f") > 0)).drop("rank")
 
 
-def _met(hits: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """Hits with the seeds of their gram; a gram in very many documents is met in blocks.
+def _common(seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """``gram, blocks``: grams in very many documents, which are met in blocks.
 
-    Common grams are those with more than 1/HOT_KEYS of all hits, so HOT_KEYS at most."""
+    They are those with more than 1/HOT_KEYS of all hits, so HOT_KEYS at most."""
     sizes = scratch.write(seeds.select("gram", "f").distinct())
     whole = sizes.agg(F.sum("f")).first()[0] or 0
-    blocks = F.ceil(F.col("f") / F.lit(HOT_ROWS)).cast("int").alias("blocks")
-    common = F.broadcast(sizes.where(F.col("f") > max(HOT_ROWS, whole // HOT_KEYS)).select("gram", blocks))
-    block = F.pmod(F.xxhash64("doc_id", "body"), F.coalesce("blocks", F.lit(1))).cast("int")
-    hits = hits.join(common, "gram", "left").withColumn("block", block).drop("blocks")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    seeds = seeds.join(common, "gram", "left").withColumn("block", every).drop("blocks", "f")
+    blocks = F.ceil(F.col("f") / F.lit(HOT_ROWS)).cast("bigint").alias("blocks")
+    common = scratch.write(sizes.where(F.col("f") > max(HOT_ROWS, whole // HOT_KEYS)).select("gram", blocks))
+    scratch.drop(sizes)
+    return common
+
+
+def _blocks(common: DataFrame):
+    """A function over hits, their grams and a hash of each one's document: the block of its gram that a hit is in.
+
+    Hits get their block where they are found, so that they are joined only once, with seeds."""
+    rows = common.orderBy("gram").toArrow()
+    shared = common.sparkSession.sparkContext.broadcast((rows.column("gram").to_numpy(), rows.column("blocks").to_numpy()))
+
+    def block(gram, document):
+        grams, blocks = shared.value
+        if not len(grams):
+            return np.zeros(len(gram), np.int64)
+        at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+        return (document % np.where(grams[at] == gram, blocks[at], 1).astype(np.uint64)).astype(np.int64)
+
+    return block
+
+
+def _met(hits: DataFrame, seeds: DataFrame, common: DataFrame) -> DataFrame:
+    """Hits with the seeds of their gram and block; seeds of common grams are in all blocks."""
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", F.lit(1)) - 1))
+    seeds = seeds.join(F.broadcast(common), "gram", "left").withColumn("block", every).drop("blocks", "f")
     return hits.join(seeds.withColumnRenamed("place", "at"), ["gram", "block"])
 
 
@@ -196,21 +217,25 @@ def leak_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
     grams = scratch.write(map_batches(items.select("item", "words"), _item_grams, "item bigint, gram bigint, place bigint, size bigint"))
     counts = scratch.write(_document_counts(docs, grams))
     seeds = scratch.write(seeds_of(grams, counts))
-    found_in = _search(docs, seeds.select("gram").distinct())
+    found_in, common = _search(docs, seeds.select("gram").distinct()), _common(seeds, scratch)
+    block_of = _blocks(common)
 
     def search(batch):
+        ids = batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)
+        document = mix(batch.column("body").to_numpy().view(np.uint64) ^ mix(ids))
         for lo, hi, owner, gram, at in found_in(batch):
             begin, size = np.searchsorted(owner, np.arange(hi - lo)), np.bincount(owner, minlength=hi - lo)
-            row = pa.array(lo + owner[at])
+            own, gram = lo + owner[at], gram.view(np.int64)
+            row = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(row), batch.column("body").take(row), pa.array(gram.view(np.int64)),
-                 pa.array(at - begin[owner[at]]), pa.array(size[owner[at]])], names=["doc_id", "body", "gram", "place", "length"])
+                [batch.column("doc_id").take(row), batch.column("body").take(row), pa.array(gram), pa.array(block_of(gram, document[own])),
+                 pa.array(at - begin[owner[at]]), pa.array(size[owner[at]])], names=["doc_id", "body", "gram", "block", "place", "length"])
 
-    hits = map_batches(docs, search, "doc_id bigint, body bigint, gram bigint, place bigint, length bigint", scan=True)
+    hits = map_batches(docs, search, "doc_id bigint, body bigint, gram bigint, block bigint, place bigint, length bigint", scan=True)
     # Bands of diagonals overlap by half, so that one of them holds all of a match.
     half = F.floor((F.col("size") + 1) / 2)
     band = F.floor((F.col("place") - F.col("at")) / half)
-    met = _met(hits, seeds, scratch).where("size >= 3 OR length = size")
+    met = _met(hits, seeds, common).where("size >= 3 OR length = size")
     met = met.select("doc_id", "body", "item", "size", "support", "at", F.explode(F.array(band - 1, band)).alias("band"))
     places = met.groupBy("doc_id", "body", "item", "size", "support", "band").agg(F.count_distinct("at").alias("n")).where("n >= support")
     places = scratch.write(places.select("doc_id", "body", "item", ((F.col("band") - 1) * half).alias("lo"),
@@ -262,7 +287,7 @@ def leak_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
                          "doc_id bigint, body bigint, item_id bigint, score double, first_word bigint, last_word bigint")
     found = _best(judged, "doc_id", "body", "item_id")
     found = scratch.write(found)
-    scratch.drop(items, grams, counts, seeds, places, wanted)
+    scratch.drop(items, grams, counts, seeds, common, places, wanted)
     return found
 
 
