@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, exact counts, and probabilities that sum to one."""
 
 import math
+import random
 from collections import Counter
 from zlib import crc32
 
@@ -116,6 +117,23 @@ def test_nothing_to_learn_from(spark, docs):
     assert {r.lang_pred for r in language_id.op10_language_id(bare).collect()} == {"und"}
 
 
+def test_clusters_see_every_token_and_pair(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}x{i % 7}" for i in range(90)], [1 / (i + 1) for i in range(90)], k=rng.randrange(20))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for name, share in (("UNIT_SHARE", 0.01), ("CONTEXT_SHARE", 0.02), ("PAIR_SHARE", 0.005), ("KNOWN_SHARE", 0.005)):
+        monkeypatch.setattr(class_lm, name, share)
+    train = F.lit(True)
+    units = class_lm.make_units(class_lm.count_words(df, train))
+    tokens = [len(class_lm.tokens(t)) for t in texts]
+    assert units.sizes.sum() == units.total == sum(tokens) and len(units.sizes) < 90
+    unit, context, n = class_lm.neighbours(df, train, units, spark.sparkContext.broadcast(units))
+    # One end stands before each text, and a pair counts for both of its tokens.
+    assert n.sum() == 2 * sum(tokens) and len({*zip(unit.tolist(), context.tolist())}) == len(n)
+    left = [sum(k for u, c, k in zip(unit, context, n) if u == x and c < context.max() // 2 + 1) for x in range(len(units.sizes))]
+    assert left == units.sizes.tolist()
+
+
 def test_memo_is_bounded_and_keeps_what_is_used():
     calls = []
     memo = Memo(lambda keys: calls.extend(keys) or [k.upper() for k in keys], 4)

@@ -10,7 +10,7 @@ unseen words.
 
 What the driver holds is bounded by shares of the corpus, not by its size: units
 make up ``UNIT_SHARE`` of all tokens or more, neighbours ``CONTEXT_SHARE``, pairs
-of them ``PAIR_SHARE``, words with broadcast counts ``KNOWN_SHARE``, endings are two
+of them ``PAIR_SHARE`` (the others are summed up by unit), words with broadcast counts ``KNOWN_SHARE``, endings are two
 bytes. Counts of all other words stay in a table that is joined by word.
 """
 
@@ -154,7 +154,11 @@ def _unit_of(units: Units, place: np.ndarray) -> np.ndarray:
 
 
 def neighbours(docs: DataFrame, train: Column, units: Units, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse counts ``(unit, context, n)``; contexts are frequent units, left and right apart."""
+    """Sparse counts ``(unit, context, n)``; contexts are frequent units, left and right apart.
+
+    All other neighbours of a unit are one context a side, in which its pairs below
+    ``PAIR_SHARE`` are counted, too: every pair of tokens counts once for each of them.
+    """
     frequent = np.flatnonzero(units.sizes >= CONTEXT_SHARE * max(1, units.total))
     context = np.full(len(units.sizes), len(frequent))
     context[frequent] = np.arange(len(frequent))
@@ -169,7 +173,8 @@ def neighbours(docs: DataFrame, train: Column, units: Units, shared) -> tuple[np
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
     rows = map_batches(docs.where(train).select("text"), count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = rows.where(F.col("n") >= PAIR_SHARE * units.total).toArrow()
+    rest = F.col("key") - F.pmod("key", F.lit(width)) + width - 1
+    rows = rows.groupBy(F.when(F.col("n") >= PAIR_SHARE * units.total, F.col("key")).otherwise(rest).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy().astype(float)
     return key // (2 * width), key % (2 * width), n
 
