@@ -2,10 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,26 @@ def test_filters_hold_every_gram_and_few_others():
         assert other.mean() == pytest.approx(f.false_hits[k], rel=0.2)
 
 
+def test_ngrams_are_counted_whole_and_few_are_held_at_once():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1500)] + [None, ""]
+    langs = [["x", "y"][i % 2] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts, pa.string())], names=["lang", "text"])
+    language_id._letters()
+    tracemalloc.start()
+    got = list(language_id._count(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts[:-2])) > 2_500_000 and peak < 50_000_000
+    want = Counter()
+    for lang, text in zip(langs, texts):
+        for n, _, h in language_id._grams([text or ""]):
+            want.update((lang, n, g) for g in h.view(np.int64).tolist())
+    rows = [r for b in got for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert {r[:3]: r[3] for r in rows} == want and len(rows) == len(want)
+
+
 def test_quality(spark, docs):
     labels = table(spark, SF, "labels")
     found = {r.doc_id: r for r in quality.op9_quality(docs, labels).collect()}

@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,16 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def row_slices(batch: pa.RecordBatch, limit: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in batches of about ``limit`` bytes of text that share its memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = size = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, size + limit, "right")))
+        yield batch.slice(at, to - at)
+        at, size = to, int(ends[to - 1])
+
+
 def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters; one long text is a range by itself."""
     at = size = 0

@@ -13,10 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import below, fold, map_batches, mix, slices, texts_of
+from .common import below, fold, map_batches, mix, row_slices, slices, texts_of
 
 ORDERS = (2, 3, 4)
 SAMPLE_DOCS = 4000  # documents per language that the filters are learned from, about
@@ -25,6 +26,7 @@ BITS_PER_GRAM = 16
 PROBES = 2
 MIN_CONTAINED = 0.1  # below this share of known n-grams a document is in no learned language
 _CHARS = 1 << 20
+_AT_ONCE = 1 << 18  # characters whose n-grams are held at once, about: some 80 bytes each
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                   dtype=np.uint64)
 
@@ -89,13 +91,30 @@ def _pieces(texts: list[str]):
             at = end
 
 
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts, each key once."""
+    if len(found) == 1:
+        return found[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, at, np.concatenate([n for _, n in found]))
+    return keys, counts
+
+
 def _count(batch: pa.RecordBatch):
-    texts, langs = texts_of(batch), batch.column("lang").to_pylist()
-    for lang in sorted(set(langs)):
-        own = [p for _, p in _pieces([t for t, x in zip(texts, langs) if x == lang])]
-        for lo, hi in slices(own, _CHARS):
-            for n, _, h in _grams(own[lo:hi]):
-                keys, counts = np.unique(h, return_counts=True)
+    langs = batch.column("lang")
+    for lang in sorted(set(langs.to_pylist())):
+        found = {n: [] for n in ORDERS}
+        for part in row_slices(batch.filter(pc.equal(langs, lang)), _AT_ONCE):
+            own = [p for _, p in _pieces(texts_of(part))]
+            for lo, hi in slices(own, _AT_ONCE):
+                for n, _, h in _grams(own[lo:hi]):
+                    found[n].append(np.unique(h, return_counts=True))
+                    if sum(len(k) for k, _ in found[n]) > _CHARS:
+                        found[n] = [_summed(found[n])]
+        for n, parts in found.items():
+            if parts:
+                keys, counts = _summed(parts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), n, np.int32)),
                      pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))],
@@ -142,7 +161,7 @@ def identify(texts: list[str], filters: Filters):
     pieces = list(_pieces(texts))
     hits = np.zeros((len(filters.languages), len(texts)))
     total = np.zeros(len(texts))
-    for lo, hi in slices([p for _, p in pieces], _CHARS):
+    for lo, hi in slices([p for _, p in pieces], _AT_ONCE):
         owner = np.array([i for i, _ in pieces[lo:hi]])
         for _, row, h in _grams([p for _, p in pieces[lo:hi]]):
             doc = owner[row] if len(row) else row
@@ -179,14 +198,16 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded: see learn
 
     def work(batch):
-        texts, f = texts_of(batch), shared.value
-        best, score, contained, _ = identify(texts, f)
-        und = np.array([not has_letter(t) for t in texts]) | (best < 0)
-        names = [None if u else f.languages[b] for u, b in zip(und, best)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([n or "und" for n in names], pa.string()),
-             pa.array(np.where(und, 0.0, score)), pa.array(np.where(und, 0.0, contained))],
-            names=["doc_id", "lang_pred", "score", "contained"])
+        f = shared.value
+        for part in row_slices(batch, _CHARS):
+            texts = texts_of(part)
+            best, score, contained, _ = identify(texts, f)
+            und = np.array([not has_letter(t) for t in texts]) | (best < 0)
+            names = [None if u else f.languages[b] for u, b in zip(und, best)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([n or "und" for n in names], pa.string()),
+                 pa.array(np.where(und, 0.0, score)), pa.array(np.where(und, 0.0, contained))],
+                names=["doc_id", "lang_pred", "score", "contained"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double, contained double",
@@ -209,9 +230,10 @@ def keep_known(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def work(batch):
-        texts = texts_of(batch)
-        best, _, contained, _ = identify(texts, shared.value)
-        keep = (best >= 0) & (contained >= MIN_CONTAINED) & np.array([has_letter(t) for t in texts])
-        yield batch.filter(pa.array(keep))
+        for part in row_slices(batch, _CHARS):
+            texts = texts_of(part)
+            best, _, contained, _ = identify(texts, shared.value)
+            keep = (best >= 0) & (contained >= MIN_CONTAINED) & np.array([has_letter(t) for t in texts])
+            yield part.filter(pa.array(keep))
 
     return map_batches(docs, work, docs.schema, scan=True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_batches, slices, texts_of
+from .common import Memo, map_batches, row_slices, slices, texts_of
 
 MARK = "▁"
 _CHARS = 1 << 20
@@ -336,14 +336,14 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     encoded; other columns are not read.
     """
     def work(batch):
-        texts = texts_of(batch)
-        n, first, second = [], [], []
-        for ids in encode(texts, path):
-            n.append(len(ids))
-            first.append(sha256(decimal(ids, path)).hexdigest())
-            second.append(sha256(decode(ids, path).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first), pa.array(second)],
-                                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in row_slices(batch, _CHARS):
+            n, first, second = [], [], []
+            for ids in encode(texts_of(part), path):
+                n.append(len(ids))
+                first.append(sha256(decimal(ids, path)).hexdigest())
+                second.append(sha256(decode(ids, path).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(first), pa.array(second)],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), work,
