@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinfold.operators import clusters, vectors
 from twinfold.plans import metric as metric_plan
-from twinfold.plans import trees
+from twinfold.plans import sparse, trees
 from twinfold.plans.groups import value_groups
 
 
@@ -340,3 +340,27 @@ def test_approximate_search_of_repeated_and_missing_ids(spark):
     df = spark.createDataFrame(rows, "rid bigint, vec array<double>")
     got = [(r.rid_l, r.rid_r, round(r.distance, 6)) for r in vectors.ann_pairs(df, "euclidean", 0.5).collect()]
     assert got == [(1, 2, 0.01)] * 4  # one row for each two rows
+
+
+def test_pairs_of_texts_do_not_carry_their_vectors(spark, monkeypatch):
+    """Near copies make many pairs; a vector goes to each tile once, whatever ids repeat."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for gid in [*range(40), 7]:
+        keys = rng.choice(500, 30, replace=False)
+        rows.append((gid, 1 + gid % 3, [int(k) for k in keys], [float(x) for x in rng.normal(size=30)]))
+    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2 or a == 3]
+    vectors = spark.createDataFrame(rows, "gid bigint, n bigint, k array<bigint>, w array<double>").cache()
+    found = spark.createDataFrame(pairs, "gid_l bigint, gid_r bigint").cache()
+    for tile in (256, 4):
+        monkeypatch.setattr(sparse, "_TILE", tile)
+        got = sorted(tuple(r) for r in sparse._pair_dots(found, vectors).collect())
+        want = []
+        for a, b in pairs:
+            for x in (r for r in rows if r[0] == a):
+                for y in (r for r in rows if r[0] == b):
+                    other = dict(zip(y[2], y[3]))
+                    want.append((a, b, x[1], y[1], sum(w * other.get(k, 0.0) for k, w in zip(x[2], x[3]))))
+        want.sort()
+        assert [r[:4] for r in got] == [r[:4] for r in want]
+        assert [r[4] for r in got] == pytest.approx([r[4] for r in want])
