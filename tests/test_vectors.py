@@ -219,6 +219,18 @@ def test_long_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(200)}, 500: 500, 501: 500}
 
 
+def test_a_round_of_components_is_three_shuffles(spark, monkeypatch):
+    from twinfold.plans import components as module
+
+    plans, write = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    edges = [(a, b) for a in range(9) for b in (a + 1, a + 2)] + [(3, 1), (3, 1), (4, 4), (21, 20), (22, 20), (30, 30)]
+    got = {r.node: r.root for r in module.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {**{i: 0 for i in range(11)}, 20: 20, 21: 20, 22: 20}
+    assert max(p.count("Exchange hashpartitioning") for p in plans) == 3
+    assert module.components(spark.createDataFrame([(5, 5)], "u bigint, v bigint")).count() == 0
+
+
 def test_kmeans_hierarchical_pca_none(spark):
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.normal(size=(30, 4)) * 0.1 + c for c in (0, 5, 10)]).tolist()

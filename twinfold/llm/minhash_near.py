@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.components import components
+from ..plans.components import star_forest
 from .common import Scratch, map_batches, mix, slices, texts_of, windows, word_hashes
 
 WORDS = 5
@@ -247,12 +247,11 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     kept = bags.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     kept = scratch.write(kept.drop("bag1", "bag2"))
     rows = kept.select("doc_id", F.explode("bands").alias("band"))
-    shared = scratch.write(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"))
-    places = scratch.write(rows.join(shared, "band"))
-    crowd = scratch.write(places.join(kept.drop("bands"), "doc_id"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    crowd = scratch.write(rows.join(shared, "band").join(kept.drop("bands"), "doc_id"))
     texts = _pick(docs, crowd.select("doc_id").distinct(), scratch)
-    spent = [kept, shared, places, crowd, texts]
-    links, classes = None, None
+    spent = [kept, crowd, texts]
+    classes = None  # node, root of every document that is not the least of its class
     crowded = crowd.withColumn("c", F.col("doc_id"))
     head = F.struct("doc_id", "s1", "s2", "s3", "c")
     for turn in range(LEADER_ROUNDS + 1):
@@ -268,14 +267,16 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
             lead = F.col("lead.doc_id")
             bits = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"lead.s{k}"))) for k in (1, 2, 3))
             pairs = met.where((F.col("c") != F.col("lead.c")) & (bits <= MAX_BITS))
-            pairs = scratch.write(pairs.select(F.least("doc_id", lead).alias("a"), F.greatest("doc_id", lead).alias("b")).distinct())
-            spent.append(pairs)
+            pairs = pairs.select(F.least("doc_id", lead).alias("a"), F.greatest("doc_id", lead).alias("b")).distinct()
             found = scratch.write(_verified(pairs, texts))
         else:
             found = scratch.write(_tiles(met, kept, texts).applyInArrow(_compare, "a bigint, b bigint"))
         spent.append(found)
-        links = found if links is None else links.union(found)
-        classes = scratch.write(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        if classes is not None and found.isEmpty():
+            continue
+        links = found.toDF("u", "v")
+        links = links if classes is None else links.union(classes)  # classes so far stand for the links that made them
+        classes = star_forest(links).toDF("node", "root")
         crowded = crowd.join(classes, F.col("doc_id") == F.col("node"), "left").select(
             "band", "doc_id", "s1", "s2", "s3", F.coalesce("root", "doc_id").alias("c"))
     members = signed.select("doc_id", "bag1", "bag2").join(heads, ["bag1", "bag2"], "left")
