@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -89,6 +90,19 @@ def test_memos_are_bounded_by_bytes(monkeypatch):
     assert not memo.young and not memo.old
 
 
+def test_workers_empty_their_memos(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(80)], "doc_id bigint, text string").repartition(8)
+    piece_codec.encoded(docs, path).collect()
+
+    def left(batches):
+        for batch in batches:
+            memo = piece_codec._memo(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(memo.young) + len(memo.old)])], names=["n"])
+
+    assert {r.n for r in docs.mapInArrow(left, "n bigint").collect()} == {0}
+
+
 def test_blocks_decode_from_any_place_and_notice_damage():
     rng = np.random.default_rng(1)
     ids = rng.zipf(1.3, 120_000).clip(0, 4_999).astype(np.uint32)

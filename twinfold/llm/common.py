@@ -154,7 +154,7 @@ class Memo:
     def __init__(self, encode: Callable[[list[str]], list]):
         self.encode = encode
         self.clear()
-        _memos.append(self)
+        _memos().append(self)
 
     def clear(self) -> None:
         self.young: dict = {}
@@ -201,12 +201,18 @@ class Memo:
                     self.old, self.young, self.size = self.young, {}, 0
 
 
-_memos: list[Memo] = []  # of this Python worker
+@lru_cache(maxsize=1)
+def _memos() -> list[Memo]:
+    """The memos of this Python worker.
+
+    Functions of this package travel by value, with copies of the globals they name;
+    a cached function travels by name, so that all of them see the same list."""
+    return []
 
 
 def give_back() -> None:
     """Return to the system what a Python worker no longer needs; workers live on from one stage to the next."""
-    for memo in _memos:
+    for memo in _memos():
         memo.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
