@@ -247,10 +247,10 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     kept = bags.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     kept = scratch.write(kept.drop("bag1", "bag2"))
     rows = kept.select("doc_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    shared = scratch.write(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"))
     crowd = scratch.write(rows.join(shared, "band").join(kept.drop("bands"), "doc_id"))
     texts = _pick(docs, crowd.select("doc_id").distinct(), scratch)
-    spent = [kept, crowd, texts]
+    spent = [kept, shared, crowd, texts]
     classes = None  # node, root of every document that is not the least of its class
     crowded = crowd.withColumn("c", F.col("doc_id"))
     head = F.struct("doc_id", "s1", "s2", "s3", "c")
