@@ -376,3 +376,21 @@ def test_pairs_of_texts_do_not_carry_their_vectors(spark, monkeypatch):
         want.sort()
         assert [r[:4] for r in got] == [r[:4] for r in want]
         assert [r[4] for r in got] == pytest.approx([r[4] for r in want])
+
+
+@pytest.mark.parametrize("numbers", [["x"], ["x", "y"]])
+def test_the_least_cosine_comes_from_few_pairs(spark, monkeypatch, numbers):
+    """All texts share a word, so the ends of the table do not hold the least pair; long vectors are not compared pairwise."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["all"] * int(rng.integers(1, 9)) + [f"w{j}" for j in rng.integers(0, 30, 6)]), float(rng.normal() ** 3), float(rng.normal())) for i in range(160)]
+    df = spark.createDataFrame(rows, "rid bigint, text string, x double, y double")
+    compared, whole = [], sparse._dots
+    monkeypatch.setattr(sparse, "_dots", lambda pairs, carry: compared.append(pairs.count()) or whole(pairs, carry))
+    monkeypatch.setattr(sparse, "_POOL", 4)
+    scaled = vectors.scaled_numerics(df, numbers)
+    found = sparse.sparse_vectors(scaled.select(F.col("rid").alias("gid"), F.lit(1).cast("bigint").alias("n"), "text", *[f"scaled_{c}" for c in numbers]),
+                                  {"text": 1.0}, [f"scaled_{c}" for c in numbers], 160)
+    kept = [dict(zip(r.k, r.w)) for r in found.collect()]
+    want = min(sum(w * b.get(k, 0.0) for k, w in a.items()) for a, b in itertools.combinations(kept, 2))
+    assert sparse.least_cosine(found, 160, several=len(numbers) > 1) == pytest.approx(want, abs=1e-12)
+    assert sum(compared) <= 28
