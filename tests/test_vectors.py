@@ -394,3 +394,24 @@ def test_the_least_cosine_comes_from_few_pairs(spark, monkeypatch, numbers):
     want = min(sum(w * b.get(k, 0.0) for k, w in a.items()) for a, b in itertools.combinations(kept, 2))
     assert sparse.least_cosine(found, 160, several=len(numbers) > 1) == pytest.approx(want, abs=1e-12)
     assert sum(compared) <= 28
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev"])
+def test_bounds_measure_only_pairs_that_can_be_outermost(spark, small_blocks, monkeypatch, metric):
+    """One matrix product rules out most pairs; the ends are the same to the last digit."""
+    import pyarrow as pa
+
+    from twinfold.plans import tiles
+
+    rows = np.random.default_rng(3).normal(size=(400, 16))
+    table = pa.table({"vec": pa.array(rows.tolist()), "gid": np.arange(400), "n": np.ones(400, np.int64), "block": np.arange(400) // 200,
+                      "_own": np.arange(400) // 200, "_i": np.zeros(400, np.int64), "_j": np.ones(400, np.int64)})
+    every = tiles.strip_distances(rows[:200], rows[200:], metric)
+    measured, whole = [], tiles.strip_distances
+    monkeypatch.setattr(tiles, "strip_distances", lambda a, b, m: measured.append(m) or whole(a, b, m))
+    found = tiles.bounds_of(table, metric, lambda table, m, rows, others: rows, np.sort(every.ravel())[5], np.sort(every.ravel())[-5]).to_pylist()
+    assert found == [{"low": every.min(), "high": every.max(), "negative": 0}]
+    assert set(measured) == {"euclidean"} and found[0]["high"] == every.max()
+    row = vectors.vector_bounds(vecs(spark, rows[:60].tolist()), metric).first()
+    d = [brute_distance(a, b, metric) for a, b in itertools.combinations(rows[:60], 2)]
+    assert row.max_distance == pytest.approx(max(d)) and row.lowest == pytest.approx(min(d))
