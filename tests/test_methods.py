@@ -349,3 +349,17 @@ def test_texts_of_the_same_pieces_meet_once(spark, small_blocks):
     df = spark.createDataFrame(rows, "id bigint, v string")
     found = grams.gram_pairs(df, "id", grams.qgrams("v", 2), F.lit(20), lambda: F.lit(True))
     assert found.count() == found.select("id_l", "id_r").distinct().count() == 60 * 59 // 2
+
+
+def test_bands_carry_the_keys_of_earlier_bands_only(spark, small_blocks):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * 2 for _ in range(12))) for i in range(40)]
+    df = spark.createDataFrame([*rows, (50, rows[0][1])], "rid bigint, text string")
+    signed = lsh.minhash_signatures(df, "text", 32).withColumnRenamed("rid", "gid")
+    assert all(len(r.ks) == r.band for r in lsh.banded(signed, 16, 2).collect())
+    sigs = {r.gid: r.sig for r in signed.collect()}
+    bands, size = lsh.band_shape(0.3, 32)
+    meet = {(i, j) for i, j in itertools.combinations(sorted(sigs), 2)
+            if any(sigs[i][b * size:(b + 1) * size] == sigs[j][b * size:(b + 1) * size] for b in range(bands))}
+    got = [tuple(r) for r in lsh.lsh_candidates(signed, 0.3, 32).collect()]
+    assert len(meet) > 20 and len(got) == len(set(got)) and set(got) == meet
